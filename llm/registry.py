@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from llm import op1_segment_topk, op3_arc_to_warc
 from llm.op5_simple8b import op5_simple8b
 from llm.op6_packing import op6_packing
 from llm.op7_simhash import op7_simhash
 from llm.op8_recompression import op8_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op5_simple8b, op6_packing, op7_simhash, op8_substring_dedup)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_segment_topk.op1_segment_topk, op3_arc_to_warc.op3_arc_to_warc, op5_simple8b, op6_packing, op7_simhash, op8_substring_dedup)}
+ORACLE: dict[str, str] = {"op1_segment_topk": op1_segment_topk.SQL, "op3_arc_to_warc": op3_arc_to_warc.SQL}
