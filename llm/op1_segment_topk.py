@@ -132,9 +132,9 @@ def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-with f as (select vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2]))::BIGINT as score
+with f as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT as score
   from f q join f c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
 r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::INTEGER as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20"""
