@@ -140,6 +140,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
     return f.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+BANDS, ROWS = 24, 5
+_MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _signatures(size: int):
+    """(doc_id, fp, sig, bands): the SimHash, one positional byte for each of BANDS * ROWS minima of the shingle hashes, band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, t = b.column(0), b.column(1)
+            for i in range(0, b.num_rows, 256):
+                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in t[i : i + 256]]
+                fps = np.fromiter((fingerprint(x, size) for x in texts), np.uint64, len(texts))
+                hashes = [np.array(shingle_hashes(x, size) or [0], dtype=np.uint64) for x in texts]
+                first = np.cumsum([0] + [len(h) for h in hashes])[:-1]
+                every = np.concatenate(hashes)
+                low = np.stack([np.minimum.reduceat(every * m, first) for m in _MULTIPLIERS], axis=1)
+                key = np.zeros((len(texts), BANDS), dtype=np.uint64)
+                for r in range(ROWS):
+                    key = key * np.uint64(0x9E3779B97F4A7C15) + (low[:, r::ROWS] ^ (low[:, r::ROWS] >> np.uint64(29)))
+                sig = (low >> np.uint64(8)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [ids[i : i + 256], pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))],
+                    names=["doc_id", "fp", "sig", "bands"],
+                )
+
+    return run
+
+
+def _tally(least: int):
+    """Pairs that share at least ``least`` positional bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in ("sa", "sb"))
+            keep = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for near copies whose shingle sets have a similarity of about ``similarity`` or more.
+
+    Texts of that similarity differ in up to a quarter of their SimHash bits, too many for byte matches to be sure.
+    So the same positional index is also kept over bytes of shingle minima, whose chance to match is the similarity
+    itself: pairs that share a band are tallied by equal positional bytes, and stay from the expected number less one standard error
+    on. SimHash links (2 bits) are added. Distinct signatures are the nodes; bands with more than LONG_LIST nodes link to
+    their least one.
+    """
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    f = materialise(d.mapInArrow(_signatures(shingle), "doc_id bigint, fp bigint, sig binary, bands array<bigint>").withColumn("node", F.xxhash64("fp", "sig")))
+    nodes = materialise(f.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    listed = nodes.select("node", F.posexplode("bands").alias("place", "key"))
+    lengths = materialise(listed.groupBy("place", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1"))
+    posted = materialise(listed.join(lengths, ["place", "key"]))
+    short = posted.filter(F.col("n") <= LONG_LIST)
+    pairs = short.select("place", "key", F.col("node").alias("a")).join(short.select("place", "key", F.col("node").alias("b")), ["place", "key"]).filter("a < b").select("a", "b")
+    stars = posted.filter((F.col("n") > LONG_LIST) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    pairs = materialise(pairs.unionByName(stars).distinct())
+    sig = nodes.select("node", "sig")
+    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    n = BANDS * ROWS
+    least = int(n * similarity - (n * similarity * (1 - similarity)) ** 0.5)
+    near = both.select("a", "b", "sa", "sb").mapInArrow(_tally(least), "a bigint, b bigint")
+    # nodes of one SimHash, and SimHashes two bits apart, through a node of the SimHash itself
+    fp_node = lambda c: F.xxhash64(c, F.lit("fp"))
+    by_fp = nodes.select(F.col("node").alias("a"), fp_node("fp").alias("b"))
+    bits = links(nodes.select("fp").distinct()).select(fp_node("a").alias("a"), fp_node("b").alias("b"))
+    comp = components(near.unionByName(by_fp).unionByName(bits))
+    named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+    best = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")))
+    of = materialise(named.join(best, "label").select("node", "component_id"))
+    return f.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = near_duplicates(documents(spark, sf_dir))
     return r.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
