@@ -9,32 +9,29 @@ from keytide.workspace import materialise
 from llm import op4_decontamination, op6_packing, op7_simhash, op8_recompression, op10_toxicity
 from llm.tokens import default_path
 
-SHINGLE_WORDS = 5
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at CUT or more go."""
-    d = op10_toxicity.documents(spark, sf_dir).filter("doc_id is not null").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    train = d.join(labels, "doc_id").filter(~op10_toxicity.held_out(F.col("doc_id")))
-    model = op10_toxicity.fit(train.select(F.col("doc_id").alias("id"), "text", "toxic"))
+    model = op10_toxicity.fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op10_toxicity.scored(docs, model).filter(F.col("toxicity") < op10_toxicity.CUT).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays."""
-    r = op7_simhash.near_duplicates(docs, shingle=SHINGLE_WORDS, max_bits=2)
+    """Of each group of linked documents, the one with the smallest id stays; rows without an id stay."""
+    r = op7_simhash.similar_documents(docs.filter("doc_id is not null"), SHINGLE_WORDS, SIMILARITY)
     keep = materialise(r.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
     once = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns)
+    return once.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur more than once go; documents that have nothing left go too."""
-    d = op8_recompression.dedup_substrings(docs, keep_text=True).filter("n_words > n_removed or n_words = 0")
-    kept = d.select("doc_id", F.col("kept_text"))
-    out = docs.drop("text").join(kept, "doc_id").withColumn("text", F.col("kept_text"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    d = op8_recompression.dedup_substrings(docs.filter("doc_id is not null"), keep_text=True).filter("n_words > n_removed or n_words = 0")
+    rest = docs.drop("text", "n_chars")
+    out = rest.join(d.select("doc_id", F.col("kept_text").alias("text")), "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
