@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keytide.workspace import materialise
 from llm.common import documents
 
 SAMPLE, VOTERS, MIN_DOCS, CUT = 20_000, 256, 4, 0.3
@@ -174,9 +175,17 @@ def _features(lexicon: list[str]):
     return run
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, voters: int = VOTERS) -> dict:
-    """A model from (id, text, toxic) training rows; at most ``sample`` of them are used."""
-    train = labelled.filter("toxic is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("text", F.col("toxic").cast("int").alias("toxic"))
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, toxic) of at most ``sample`` labelled rows that are not held out: ids are chosen first, texts fetched for those alone."""
+    known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(known, "doc_id").filter(~held_out(F.col("doc_id")))
+    ids = materialise(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample))
+    # the chosen ids have a fixed bound, so they may be broadcast
+    return materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("text", "toxic"))
+
+
+def fit(train: DataFrame, voters: int = VOTERS) -> dict:
+    """A model from (text, toxic) training rows."""
     lexicon = find_lexicon(train, voters)
     rows = train.mapInArrow(_features(lexicon), "toxic int, x array<float>").toPandas()
     x = np.array(rows.x.to_list(), dtype=np.float32).reshape(len(rows), -1)
@@ -219,16 +228,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_tables(spark: SparkSession, sf_dir: str) -> dict:
-    d = documents(spark, sf_dir).filter("doc_id is not null")
-    lab = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    j = d.select("doc_id", "text").join(lab, "doc_id").filter(~held_out(F.col("doc_id")))
-    return fit(j.select(F.col("doc_id").alias("id"), "text", "toxic"))
+def fit_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
+    return fit(training_rows(docs, labels, sample))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    s = scored(d, fit_tables(spark, sf_dir))
+    s = scored(d, fit_tables(d, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= CUT).cast("int").alias("predicted"))
 
 
