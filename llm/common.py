@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,23 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return materialise(global_rank(d, parts, "doc_id", "text", rank="row_key").select("row_key", "doc_id", "text"))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    c = zstandard.ZstdCompressor(level=3, write_content_size=True)
+    for b in batches:
+        z = [c.compress(x.as_buffer()) if len(x.as_py()) else b"" for x in b.column(2).cast(pa.large_binary())]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["row_key", "doc_id", "z"])
+
+
+def squeezed(keyed_docs: DataFrame) -> DataFrame:
+    """(row_key, doc_id, z): texts compressed one by one, for exchanges that move whole texts."""
+    return keyed_docs.select("row_key", "doc_id", "text").mapInArrow(_squeeze, "row_key bigint, doc_id bigint, z binary")
+
+
+def unsqueeze(z: pa.Array) -> pa.Array:
+    d = zstandard.ZstdDecompressor()
+    return pa.array([d.decompress(x) if x else b"" for x in z.to_pylist()], pa.large_binary())
+
+
 def text_blocks(ids: np.ndarray, texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of consecutive texts of about block_bytes together; a longer text is a block by itself."""
     arr = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts

@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import documents, gram_hashes, keyed, mix, picked, text_blocks, window_min
+from llm.common import documents, gram_hashes, keyed, mix, picked, squeezed, text_blocks, unsqueeze, window_min
 from llm.exchange import BLOB, Sender, _row_bucket, _squeeze, bucket_count, repeated
 from llm.suffixes import MAX_TEXT, equal_neighbours, suffix_array
 
@@ -112,7 +112,7 @@ def _contexts(length: int, gram: int, buckets: int):
         held, weight = [], 0
         for batch in batches:
             loffs, lvals, place = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(), 0
-            for keys, data, offs in text_blocks(batch.column(0).to_numpy(), batch.column(1)):
+            for keys, data, offs in text_blocks(batch.column(0).to_numpy(), unsqueeze(batch.column(1))):
                 counts = np.diff(loffs[place : place + len(keys) + 1])
                 mine = lvals[loffs[place] : loffs[place + len(keys)]].astype(np.int64)
                 anchor = np.repeat(offs[:-1], counts) + mine  # bytes where repeated anchors stand
@@ -283,7 +283,7 @@ def later_runs(keyed_docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     buckets = bucket_count(keyed_docs)
     text = keyed_docs.select("row_key", "text")
     hit = repeated(text.mapInArrow(_anchors(length, gram, buckets), BLOB), buckets)
-    near = text.join(hit, "row_key").select("row_key", "text", "at")
+    near = squeezed(keyed_docs).join(hit, "row_key").select("row_key", "z", "at")
     met = near.mapInArrow(_contexts(length, gram, buckets), CONTEXTS).repartition(buckets, "bucket")
     return met.mapInArrow(_resolve(length, buckets), CONTEXTS).repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<int>, n array<int>")
 
@@ -294,9 +294,9 @@ _OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sh
 def _strip(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, texts = [], unsqueeze(b.column(1))
             for i in range(b.num_rows):
-                t = b.column(1)[i]
+                t = texts[i]
                 body = t.as_buffer().to_pybytes() if t.is_valid else b""
                 spans: list[list[int]] = []
                 if b.column(2)[i].is_valid:
@@ -320,7 +320,7 @@ def _strip(length: int):
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     k = keyed(docs, id_col, text_col)
-    return k.join(later_runs(k, length, gram), "row_key", "left").select("doc_id", "text", "at", "n").mapInArrow(_strip(length), _OUT)
+    return squeezed(k).join(later_runs(k, length, gram), "row_key", "left").select("doc_id", "z", "at", "n").mapInArrow(_strip(length), _OUT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

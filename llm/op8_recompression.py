@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import documents, gram_hashes, keyed, mix, pair_names, picked, span_hashes, text_blocks, word_spans
+from llm.common import documents, gram_hashes, keyed, mix, pair_names, picked, span_hashes, squeezed, text_blocks, unsqueeze, word_spans
 from llm.exchange import BLOB, Sender, bucket_count, repeated
 
 WINDOW = 35
@@ -117,7 +117,7 @@ def _windows(window: int, buckets: int):
             all_keys, lists = batch.column(0).to_numpy(), batch.column(2)
             place = 0
             loffs, lvals = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for keys, data, offs in text_blocks(all_keys, batch.column(1)):
+            for keys, data, offs in text_blocks(all_keys, unsqueeze(batch.column(1))):
                 starts, ends, first = word_spans(data, offs)
                 lo, hi = loffs[place], loffs[place + len(keys)]
                 owner_of = np.repeat(np.arange(len(keys)), np.diff(loffs[place : place + len(keys) + 1]))
@@ -148,7 +148,7 @@ def repeated_windows(keyed_docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = bucket_count(keyed_docs)
     text = keyed_docs.select("row_key", "text")
     anchors = repeated(text.mapInArrow(_anchors(window, n), BLOB), n)
-    near = text.join(anchors, "row_key").select("row_key", "text", "at")
+    near = squeezed(keyed_docs).join(anchors, "row_key").select("row_key", "z", "at")
     return repeated(near.mapInArrow(_windows(window, n), BLOB), n)
 
 
@@ -164,7 +164,7 @@ def _strip(window: int, keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, lists = batch.column("doc_id"), batch.column("text"), batch.column("at")
+            ids, texts, lists = batch.column("doc_id"), unsqueeze(batch.column("z")), batch.column("at")
             words, removed, digests, kept = [], [], [], []
             for i in range(batch.num_rows):
                 body = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
@@ -192,7 +192,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): every word in a repeated window removed."""
     k = keyed(docs, id_col, text_col)
     hit = repeated_windows(k, window)
-    joined = k.join(hit, "row_key", "left").select("doc_id", "text", "at")
+    joined = squeezed(k).join(hit, "row_key", "left").select("doc_id", "z", "at")
     return joined.mapInArrow(_strip(window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else ""))
 
 
