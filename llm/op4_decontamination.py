@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Every run of SEED words of a test item is a seed. One pass over the corpus counts the documents that hold each seed. A
-seed is rare if at most RARE_SHARE of the documents hold it, or if it is among its item's RAREST rarest, so that every item
-has seeds, however often it was copied. A second pass joins passages to items by rare seeds and aligns item and passage,
+seed is rare if at most RARE_SHARE of the documents hold it, or at most MEDIANS times as many as hold its item's median seed, so
+that every item keeps at least half of its seeds, however often it was copied, and only phrases that are common besides fall away. A second pass joins passages to items by rare seeds and aligns item and passage,
 word by word (match +2, mismatch -1, gap -1), around each diagonal. The score is the best local alignment over that of the whole
 item; a document is contaminated by an item from THRESHOLD on, so paraphrased or edited copies are found and
 short common phrases are not.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keytide.workspace import materialise
 from llm.common import documents, gram_hashes, span_hashes, text_blocks, word_spans
 
-SEED, RARE_SHARE, RAREST, THRESHOLD, BLOCK_WORDS = 4, 0.001, 16, 0.5, 1 << 19
+SEED, RARE_SHARE, MEDIANS, THRESHOLD, BLOCK_WORDS = 4, 0.001, 2, 0.5, 1 << 19
 MATCH, MISS, GAP = 2, -1, -1
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
@@ -207,7 +207,10 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, see
         df = {r["seed"] & (1 << 64) - 1: r["n"] for r in held.collect()}  # no more seeds than the block has words
         block, rare = Items(rows, seed), {h for h, n in df.items() if n <= RARE_SHARE * n_docs}
         for i in range(len(rows)):
-            rare.update(sorted(block.h[block.item == i].tolist(), key=lambda h: (df.get(h, 0), h))[:RAREST])
+            mine = block.h[block.item == i].tolist()
+            if mine:
+                most = MEDIANS * np.median([df.get(h, 0) for h in mine])
+                rare.update(h for h in mine if df.get(h, 0) <= most)
         part = d.mapInArrow(_match(rows, seed, np.array(sorted(rare), dtype=np.uint64), threshold), _OUT).drop("doc_row")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], _OUT).drop("doc_row")
