@@ -188,7 +188,7 @@ def fit(train: DataFrame, voters: int = VOTERS) -> dict:
     """A model from (text, toxic) training rows."""
     lexicon = find_lexicon(train, voters)
     rows = train.mapInArrow(_features(lexicon), "toxic int, x array<float>").toPandas()
-    x = np.array(rows.x.to_list(), dtype=np.float32).reshape(len(rows), -1)
+    x = np.array(rows.x.to_list(), dtype=np.float32)
     y = rows.toxic.to_numpy(dtype=np.float64)
     m = len(lexicon) + PATTERNS
     if not len(x) or not y.sum():
