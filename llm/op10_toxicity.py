@@ -169,8 +169,8 @@ def _features(lexicon: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Voters(lexicon)
         for b in batches:
-            rows = [np.concatenate(v(t or "")).tolist() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.float32()))], names=["toxic", "x"])
+            rows = [np.concatenate(v(t or "")).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], names=["toxic", "x"])
 
     return run
 
@@ -187,9 +187,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 def fit(train: DataFrame, voters: int = VOTERS) -> dict:
     """A model from (text, toxic) training rows."""
     lexicon = find_lexicon(train, voters)
-    rows = train.mapInArrow(_features(lexicon), "toxic int, x array<float>").toPandas()
-    x = np.array(rows.x.to_list(), dtype=np.float32)
-    y = rows.toxic.to_numpy(dtype=np.float64)
+    # packed rows: ``sample`` times the features of four bytes is all that the driver holds
+    rows = train.mapInArrow(_features(lexicon), "toxic int, x binary").toArrow()
+    y = rows["toxic"].to_numpy().astype(np.float64)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), dtype=np.float32).reshape(len(y), -1) if len(y) else np.zeros((0, 1), np.float32)
     m = len(lexicon) + PATTERNS
     if not len(x) or not y.sum():
         w = np.zeros(m + 6)
