@@ -183,14 +183,44 @@ def _tally(least: int):
     return run
 
 
+def tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose signatures share at least ``least`` positional bytes."""
+    sig = nodes.select("node", "sig")
+    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_tally(least), "a bigint, b bigint")
+
+
+def across(long: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of long lists that are in different components so far; None if each list is within one component.
+
+    Pairs within a component can add nothing. Lists are split by a second band that pairs share, and in each part the nodes
+    outside its largest component meet the nodes of other components, so a large group of near copies does not pair up.
+    """
+    own = ["place", "key"]
+    named = long.select(*own, "node").join(comp, "node", "left").select(*own, "node", F.coalesce("label", "node").alias("label"))
+    named = materialise(named)
+    mixed = materialise(named.groupBy(*own).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(*own))
+    if mixed.limit(1).count() == 0:
+        return None
+    part = [*own, "place2", "key2"]
+    bands = nodes.select("node", F.posexplode("bands").alias("place2", "key2"))
+    parts = materialise(named.join(mixed, own).join(bands, "node").filter("place <> place2").select(*part, "node", "label"))
+    sizes = parts.groupBy(*part, "label").agg(F.count("*").alias("n"))
+    top = materialise(sizes.groupBy(*part).agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select(*part, "top"))
+    held = materialise(parts.join(top, part))
+    a = held.filter("label <> top").select(*part, F.col("node").alias("a"), F.col("label").alias("la"))
+    b = held.select(*part, F.col("node").alias("b"), F.col("label").alias("lb"))
+    return materialise(a.join(b, part).filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for near copies whose shingle sets have a similarity of about ``similarity`` or more.
 
     Texts of that similarity differ in up to a quarter of their SimHash bits, too many for byte matches to be sure.
     So the same positional index is also kept over bytes of shingle minima, whose chance to match is the similarity
     itself: pairs that share a band are tallied by equal positional bytes, and stay from the expected number less one standard error
-    on. SimHash links (2 bits) are added. Distinct signatures are the nodes; bands with more than LONG_LIST nodes link to
-    their least one.
+    on. SimHash links (2 bits) are added. Distinct signatures are the nodes; a band with more than LONG_LIST nodes first links
+    them to its least one, then its members of other components are paired too (``across``).
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     f = materialise(d.mapInArrow(_signatures(shingle), "doc_id bigint, fp bigint, sig binary, bands array<bigint>").withColumn("node", F.xxhash64("fp", "sig")))
@@ -202,16 +232,17 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     pairs = short.select("place", "key", F.col("node").alias("a")).join(short.select("place", "key", F.col("node").alias("b")), ["place", "key"]).filter("a < b").select("a", "b")
     stars = posted.filter((F.col("n") > LONG_LIST) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     pairs = materialise(pairs.unionByName(stars).distinct())
-    sig = nodes.select("node", "sig")
-    both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     n = BANDS * ROWS
     least = int(n * similarity - (n * similarity * (1 - similarity)) ** 0.5)
-    near = both.select("a", "b", "sa", "sb").mapInArrow(_tally(least), "a bigint, b bigint")
+    near = tallied(pairs, nodes, least)
     # nodes of one SimHash, and SimHashes two bits apart, through a node of the SimHash itself
     fp_node = lambda c: F.xxhash64(c, F.lit("fp"))
     by_fp = nodes.select(F.col("node").alias("a"), fp_node("fp").alias("b"))
     bits = links(nodes.select("fp").distinct()).select(fp_node("a").alias("a"), fp_node("b").alias("b"))
     comp = components(near.unionByName(by_fp).unionByName(bits))
+    more = across(posted.filter(F.col("n") > LONG_LIST), nodes, comp)
+    if more is not None:
+        comp = components(tallied(more, nodes, least).unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     best = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of = materialise(named.join(best, "label").select("node", "component_id"))

@@ -125,6 +125,21 @@ def test_near_copies_meet(docs, texts):
     assert len({got[i] for i in range(6, 31)}) == 25
 
 
+def test_near_copies_of_long_bands(spark, monkeypatch):
+    """Long lists give the components that pairing every list gives: chains of edits, so that no one text is near all others."""
+    rnd, words, out = np.random.default_rng(5), [f"w{i}" for i in range(200)], []
+    for k in range(60):
+        words = list(words)
+        for i in rnd.integers(0, 200, 1 + k % 4):
+            words[i] = f"x{k}{i}"
+        out.append(" ".join(words))
+    d = spark.createDataFrame(rows(out), SCHEMA)
+    part = lambda: {r.doc_id: r.component_id for r in op7_simhash.similar_documents(d).collect()}
+    want = part()
+    monkeypatch.setattr(op7_simhash, "LONG_LIST", 3)
+    assert part() == want
+
+
 def library(texts, end):
     from tokenizers import Tokenizer
 
