@@ -25,11 +25,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
-from llm.common import documents
+from llm.common import documents, mix, squeezed
+from llm.exchange import BLOB, Sender, bucket_count, repeated
 
 LONG_LIST = 64
 POSITIONS = 8
@@ -142,18 +144,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col
 
 BANDS, ROWS = 24, 5
 _MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SIGNED = "doc_id bigint, k bigint, n int, fp bigint, sig binary, bands array<bigint>"
+#: A pair is verified if its equal bytes are no more than so many standard errors below the number expected at the threshold.
+ERRORS = 3
+EPSILON = 1e-9
 
 
 def _signatures(size: int):
-    """(doc_id, fp, sig, bands): the SimHash, one positional byte for each of BANDS * ROWS minima of the shingle hashes, band keys."""
+    """Of each text: distinct shingles, SimHash, one positional byte for each of BANDS * ROWS minima of the shingle hashes, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, t = b.column(0), b.column(1)
             for i in range(0, b.num_rows, 256):
-                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in t[i : i + 256]]
+                part = b.slice(i, 256)
+                texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(2)]
                 fps = np.fromiter((fingerprint(x, size) for x in texts), np.uint64, len(texts))
-                hashes = [np.array(shingle_hashes(x, size) or [0], dtype=np.uint64) for x in texts]
+                hashes = [np.unique(np.array(shingle_hashes(x, size), dtype=np.uint64)) for x in texts]
+                count = pa.array([len(h) for h in hashes], pa.int32())
+                hashes = [h if len(h) else np.zeros(1, np.uint64) for h in hashes]
                 first = np.cumsum([0] + [len(h) for h in hashes])[:-1]
                 every = np.concatenate(hashes)
                 low = np.stack([np.minimum.reduceat(every * m, first) for m in _MULTIPLIERS], axis=1)
@@ -162,8 +170,8 @@ def _signatures(size: int):
                     key = key * np.uint64(0x9E3779B97F4A7C15) + (low[:, r::ROWS] ^ (low[:, r::ROWS] >> np.uint64(29)))
                 sig = (low >> np.uint64(8)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i : i + 256], pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))],
-                    names=["doc_id", "fp", "sig", "bands"],
+                    [part.column(0), part.column(1), count, pa.array(fps.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))],
+                    names=["doc_id", "k", "n", "fp", "sig", "bands"],
                 )
 
     return run
@@ -190,11 +198,77 @@ def tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_tally(least), "a bigint, b bigint")
 
 
-def across(long: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame | None:
+def _shingle_set(z: pa.Scalar, size: int) -> np.ndarray:
+    text = zstandard.ZstdDecompressor().decompress(z.as_buffer()) if len(z.as_buffer()) else b""
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+
+
+def _verify(size: int, similarity: float):
+    """Pairs whose shingle sets have the similarity. Rows of one b come together, so its set is kept; of other sets, the last few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def of(node: int, z: pa.Scalar) -> np.ndarray:
+            s = kept.pop(node, None)
+            if s is None:
+                s = _shingle_set(z, size)
+            kept[node] = s  # last used, last to go
+            if len(kept) > 64:
+                del kept[next(iter(kept))]
+            return s
+
+        for batch in batches:
+            good = []
+            for a, b, za, zb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = of(a, za), of(b, zb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - EPSILON)
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts reach the similarity, by all their shingles."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("za")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
+    return both.select("a", "b", "za", "zb").mapInArrow(_verify(shingle, similarity), "a bigint, b bigint")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, z): the compressed text of each node of ``wanted`` (node, doc_id, k), from the rows of ``docs`` (row_key, doc_id, text)."""
+    w = wanted.select("node", F.col("doc_id").alias("rep"), F.col("k").alias("row_key"))
+    found = squeezed(docs).join(w, "row_key").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    return materialise(found.groupBy("node").agg(F.first("z").alias("z")))  # rows that repeat id and text are one
+
+
+def _shingle_entries(size: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send = Sender(buckets, later_only=False)
+        for b in batches:
+            for node, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                h = _shingle_set(z, size)
+                yield from send.add(h, (mix(h) >> np.uint64(32)).astype(np.uint32), np.full(len(h), node, np.int64), np.arange(len(h)))
+        yield from send.flush()
+
+    return run
+
+
+def shared_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, shared): how many of a text's distinct shingles another text has too; texts that share none are left out."""
+    buckets = bucket_count(texts)
+    entries = texts.select("node", "z").mapInArrow(_shingle_entries(shingle, buckets), BLOB)
+    return repeated(entries, buckets).select(F.col("row_key").alias("node"), F.size("at").alias("shared"))
+
+
+def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
     """Pairs (a, b) of long lists that are in different components so far; None if each list is within one component.
 
-    Pairs within a component can add nothing. Lists are split by a second band that pairs share, and in each part the nodes
-    outside its largest component meet the nodes of other components, so a large group of near copies does not pair up.
+    Pairs within a component can add nothing. A shingle that no other of these texts has lies outside every intersection and in
+    the union: with s shared and u own shingles, a pair reaches at most m / (m + ua + ub), where m is the smaller s. Texts and
+    pairs whose bound is below the similarity cannot link, and go. Lists are split by a second band that pairs share,
+    and in each part the nodes outside its largest component meet the nodes of other components.
     """
     own = ["place", "key"]
     named = long.select(*own, "node").join(comp, "node", "left").select(*own, "node", F.coalesce("label", "node").alias("label"))
@@ -202,47 +276,63 @@ def across(long: DataFrame, nodes: DataFrame, comp: DataFrame) -> DataFrame | No
     mixed = materialise(named.groupBy(*own).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(*own))
     if mixed.limit(1).count() == 0:
         return None
-    part = [*own, "place2", "key2"]
-    bands = nodes.select("node", F.posexplode("bands").alias("place2", "key2"))
-    parts = materialise(named.join(mixed, own).join(bands, "node").filter("place <> place2").select(*part, "node", "label"))
-    sizes = parts.groupBy(*part, "label").agg(F.count("*").alias("n"))
-    top = materialise(sizes.groupBy(*part).agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select(*part, "top"))
+    named = materialise(named.join(mixed, own))
+    possible = lambda m, u: m * (1 - similarity) >= u * similarity - EPSILON
+    counted = shared_shingles(texts.join(named.select("node").distinct(), "node"), shingle).join(nodes.select("node", "n"), "node").select("node", "shared", (F.col("n") - F.col("shared")).alias("single"))
+    counted = materialise(counted.filter(possible(F.col("shared"), F.col("single"))))
+    part, size = [*own, "place2", "key2"], ["shared", "single"]
+    bands = nodes.join(counted, "node").select("node", *size, F.posexplode("bands").alias("place2", "key2"))
+    parts = materialise(named.join(bands, "node").filter("place <> place2").select(*part, "node", "label", *size))
+    sizes = parts.groupBy(*part, "label").agg(F.count("*").alias("rows"))
+    top = materialise(sizes.groupBy(*part).agg(F.max_by("label", F.struct("rows", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select(*part, "top"))
     held = materialise(parts.join(top, part))
-    a = held.filter("label <> top").select(*part, F.col("node").alias("a"), F.col("label").alias("la"))
-    b = held.select(*part, F.col("node").alias("b"), F.col("label").alias("lb"))
-    return materialise(a.join(b, part).filter("la <> lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    a = held.filter("label <> top").select(*part, F.col("node").alias("a"), F.col("label").alias("la"), F.col("shared").alias("sa"), F.col("single").alias("ua"))
+    b = held.select(*part, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("shared").alias("sb"), F.col("single").alias("ub"))
+    met = a.join(b, part).filter("la <> lb").filter(possible(F.least("sa", "sb"), F.col("ua") + F.col("ub")))
+    return materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for near copies whose shingle sets have a similarity of about ``similarity`` or more.
+    """(doc_id, component_id) for near copies: documents linked by shingle sets with a Jaccard similarity of ``similarity`` or more.
 
     Texts of that similarity differ in up to a quarter of their SimHash bits, too many for byte matches to be sure.
     So the same positional index is also kept over bytes of shingle minima, whose chance to match is the similarity
-    itself: pairs that share a band are tallied by equal positional bytes, and stay from the expected number less one standard error
-    on. SimHash links (2 bits) are added. Distinct signatures are the nodes; a band with more than LONG_LIST nodes first links
+    itself: pairs that share a band are tallied by equal positional bytes, and from the expected number less ERRORS standard
+    errors on they are verified by all shingles of both texts, as are SimHash links (2 bits). Distinct signatures are
+    the nodes (texts that agree in the SimHash and all bytes are copies); a band with more than LONG_LIST nodes first links
     them to its least one, then its members of other components are paired too (``across``).
     """
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    f = materialise(d.mapInArrow(_signatures(shingle), "doc_id bigint, fp bigint, sig binary, bands array<bigint>").withColumn("node", F.xxhash64("fp", "sig")))
-    nodes = materialise(f.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    listed = nodes.select("node", F.posexplode("bands").alias("place", "key"))
-    lengths = materialise(listed.groupBy("place", "key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = d.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
+    f = materialise(d.select("doc_id", F.col("row_key").alias("k"), "text").mapInArrow(_signatures(shingle), _SIGNED).withColumn("node", F.xxhash64("fp", "sig")))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "n"))
+    nodes = f.groupBy("node").agg(rep.alias("rep"), F.first("fp").alias("fp"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.select("node", F.col("rep.doc_id").alias("least"), F.col("rep.k").alias("k"), F.col("rep.n").alias("n"), "fp", "sig", "bands"))
+    listed = nodes.select("node", "n", F.posexplode("bands").alias("place", "key"))
+    lengths = materialise(listed.groupBy("place", "key").agg(F.count("*").alias("listed"), F.min("node").alias("centre")).filter("listed > 1"))
     posted = materialise(listed.join(lengths, ["place", "key"]))
-    short = posted.filter(F.col("n") <= LONG_LIST)
-    pairs = short.select("place", "key", F.col("node").alias("a")).join(short.select("place", "key", F.col("node").alias("b")), ["place", "key"]).filter("a < b").select("a", "b")
-    stars = posted.filter((F.col("n") > LONG_LIST) & (F.col("node") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    short, long = posted.filter(F.col("listed") <= LONG_LIST), posted.filter(F.col("listed") > LONG_LIST)
+    a, b = (short.select("place", "key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - EPSILON
+    pairs = a.join(b, ["place", "key"]).filter("a < b").filter(alike).select("a", "b")
+    stars = long.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
     pairs = materialise(pairs.unionByName(stars).distinct())
     n = BANDS * ROWS
-    least = int(n * similarity - (n * similarity * (1 - similarity)) ** 0.5)
+    least = int(n * similarity - ERRORS * (n * similarity * (1 - similarity)) ** 0.5)
     near = tallied(pairs, nodes, least)
-    # nodes of one SimHash, and SimHashes two bits apart, through a node of the SimHash itself
-    fp_node = lambda c: F.xxhash64(c, F.lit("fp"))
-    by_fp = nodes.select(F.col("node").alias("a"), fp_node("fp").alias("b"))
-    bits = links(nodes.select("fp").distinct()).select(fp_node("a").alias("a"), fp_node("b").alias("b"))
-    comp = components(near.unionByName(by_fp).unionByName(bits))
-    more = across(posted.filter(F.col("n") > LONG_LIST), nodes, comp)
+    # nodes of one SimHash meet its least node, and so do SimHashes two bits apart
+    heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    bits = links(heads.select("fp"))
+    bits = bits.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = materialise(near.unionByName(same).unionByName(bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(long.select("node")).distinct()
+    texts = texts_of(d, materialise(nodes.select("node", F.col("least").alias("doc_id"), "k").join(wanted, "node")))
+    comp = components(verified(near, texts, shingle, similarity))
+    more = across(long, nodes, texts, comp, shingle, similarity)
     if more is not None:
-        comp = components(tallied(more, nodes, least).unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        found = verified(materialise(tallied(more, nodes, least)), texts, shingle, similarity)
+        comp = components(found.unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     best = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of = materialise(named.join(best, "label").select("node", "component_id"))
