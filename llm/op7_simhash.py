@@ -30,8 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
-from llm.common import documents, mix, squeezed
-from llm.exchange import BLOB, Sender, bucket_count, repeated
+from llm.common import documents, squeezed
 
 LONG_LIST = 64
 POSITIONS = 8
@@ -147,6 +146,8 @@ _MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, size=BANDS * ROWS, dty
 _SIGNED = "doc_id bigint, k bigint, n int, fp bigint, sig binary, bands array<bigint>"
 #: A pair is verified if its equal bytes are no more than so many standard errors below the number expected at the threshold.
 ERRORS = 3
+#: Rounds in which a long list names a champion; more rounds leave fewer pairs, the components are the same.
+CHAMPIONS = 2
 EPSILON = 1e-9
 
 
@@ -243,32 +244,50 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(found.groupBy("node").agg(F.first("z").alias("z")))  # rows that repeat id and text are one
 
 
-def _shingle_entries(size: int, buckets: int):
+def _postings(size: int):
+    """(node, h): each distinct shingle of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        send = Sender(buckets, later_only=False)
         for b in batches:
             for node, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = _shingle_set(z, size)
-                yield from send.add(h, (mix(h) >> np.uint64(32)).astype(np.uint32), np.full(len(h), node, np.int64), np.arange(len(h)))
-        yield from send.flush()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.view(np.int64))], names=["node", "h"])
 
     return run
 
 
-def shared_shingles(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, shared): how many of a text's distinct shingles another text has too; texts that share none are left out."""
-    buckets = bucket_count(texts)
-    entries = texts.select("node", "z").mapInArrow(_shingle_entries(shingle, buckets), BLOB)
-    return repeated(entries, buckets).select(F.col("row_key").alias("node"), F.size("at").alias("shared"))
+def _dominated(size: int):
+    """The pairs (champ, node) where every common shingle of the node is one of the champion's, which has no more shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, top = None, np.zeros(0, np.uint64)
+        for b in batches:
+            good = []
+            for champ, zc, zn, rare in zip(b.column(0).to_pylist(), b.column(2), b.column(3), b.column(4), strict=True):
+                if champ != last:
+                    last, top = champ, _shingle_set(zc, size)
+                x = _shingle_set(zn, size)
+                rest = np.setdiff1d(x, top, assume_unique=True)
+                own = rare.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                good.append(len(top) <= len(x) and bool(np.isin(rest, own).all()))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["champ", "node"])
+
+    return run
 
 
 def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
-    """Pairs (a, b) of long lists that are in different components so far; None if each list is within one component.
+    """Pairs (a, b) that complete the components of long lists; None if each list is within one component.
+
+    Members of a list whose components differ could all be paired; the components come out the same from far fewer pairs.
+    Call a shingle rare if at most LONG_LIST of these texts have it.
 
-    Pairs within a component can add nothing. A shingle that no other of these texts has lies outside every intersection and in
-    the union: with s shared and u own shingles, a pair reaches at most m / (m + ua + ub), where m is the smaller s. Texts and
-    pairs whose bound is below the similarity cannot link, and go. Lists are split by a second band that pairs share,
-    and in each part the nodes outside its largest component meet the nodes of other components.
+    Texts that share a rare shingle are paired by it, which is linear. For all other pairs, rare shingles lie in the union and not
+    in the intersection: with c common and u rare shingles, a pair reaches at most m / (m + ua + ub), where m is the smaller c;
+    below the similarity it cannot link. Of the rest, a text y with all common shingles of z and no more shingles in all is at least as
+    similar to any x as z is (|x & z| <= |x & y|, |y| <= |z|). So z need only meet such texts: if x and z link, x links with the y of z, z with the y
+    of x, and those two link. In each list, members dominated by the champion of a round (the most common shingles, then the fewest
+    rare ones) leave; all members meet the champions and what is left.
     """
     own = ["place", "key"]
     named = long.select(*own, "node").join(comp, "node", "left").select(*own, "node", F.coalesce("label", "node").alias("label"))
@@ -277,19 +296,34 @@ def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame,
     if mixed.limit(1).count() == 0:
         return None
     named = materialise(named.join(mixed, own))
+    label = named.select("node", "label").distinct()
+    held = materialise(texts.join(label, "node").select("node", "z", "label"))
+    posted = materialise(held.select("node", "z").mapInArrow(_postings(shingle), "node bigint, h bigint"))
+    few = materialise(posted.groupBy("h").agg(F.count("*").alias("texts")).filter(F.col("texts") <= LONG_LIST))
+    rare = materialise(posted.join(few, "h").join(label, "node"))
+    by = rare.filter("texts > 1")
+    a, b = (by.select("h", F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    by_rare = a.join(b, "h").filter("a < b and la <> lb").select("a", "b").distinct()
+
     possible = lambda m, u: m * (1 - similarity) >= u * similarity - EPSILON
-    counted = shared_shingles(texts.join(named.select("node").distinct(), "node"), shingle).join(nodes.select("node", "n"), "node").select("node", "shared", (F.col("n") - F.col("shared")).alias("single"))
-    counted = materialise(counted.filter(possible(F.col("shared"), F.col("single"))))
-    part, size = [*own, "place2", "key2"], ["shared", "single"]
-    bands = nodes.join(counted, "node").select("node", *size, F.posexplode("bands").alias("place2", "key2"))
-    parts = materialise(named.join(bands, "node").filter("place <> place2").select(*part, "node", "label", *size))
-    sizes = parts.groupBy(*part, "label").agg(F.count("*").alias("rows"))
-    top = materialise(sizes.groupBy(*part).agg(F.max_by("label", F.struct("rows", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1").select(*part, "top"))
-    held = materialise(parts.join(top, part))
-    a = held.filter("label <> top").select(*part, F.col("node").alias("a"), F.col("label").alias("la"), F.col("shared").alias("sa"), F.col("single").alias("ua"))
-    b = held.select(*part, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("shared").alias("sb"), F.col("single").alias("ub"))
-    met = a.join(b, part).filter("la <> lb").filter(possible(F.least("sa", "sb"), F.col("ua") + F.col("ub")))
-    return materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    of = held.select("node", "z").join(nodes.select("node", "n"), "node").join(rare.groupBy("node").agg(F.collect_list("h").alias("rare")), "node", "left")
+    of = of.select("node", "z", F.coalesce("rare", F.array().cast("array<bigint>")).alias("rare"), "n").withColumn("u", F.size("rare")).withColumn("c", F.col("n") - F.col("u"))
+    of = materialise(of.filter(possible(F.col("c"), F.col("u"))))
+    members = materialise(named.join(of.select("node", "c", "u"), "node").select(*own, "node", "label", "c", "u"))
+    left, met = members, None
+    for _ in range(CHAMPIONS):
+        champ = materialise(left.groupBy(*own).agg(F.max_by("node", F.struct("c", -F.col("u"), "node")).alias("champ")))
+        led = left.join(champ, own).filter("node <> champ")
+        tests = led.select("champ", "node").distinct().join(of.select(F.col("node").alias("champ"), F.col("z").alias("zc")), "champ").join(of.select("node", F.col("z").alias("zn"), "rare"), "node")
+        gone = materialise(tests.select("champ", "node", "zc", "zn", "rare").mapInArrow(_dominated(shingle), "champ bigint, node bigint"))
+        chosen = members.select(*own, "node", "label", "c", "u").join(champ.withColumnRenamed("champ", "node"), [*own, "node"])
+        met = chosen if met is None else met.unionByName(chosen)
+        left = materialise(led.join(gone, ["champ", "node"], "left_anti").select(*members.columns))
+    named_as = lambda d, x: d.select(*own, *[F.col(k).alias(f"{k}_{x}") for k in ("node", "label", "c", "u")])
+    both = named_as(members, "a").join(named_as(materialise(met.unionByName(left)), "b"), own)
+    both = both.filter("label_a <> label_b").filter(possible(F.least("c_a", "c_b"), F.col("u_a") + F.col("u_b")))
+    pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return materialise(pairs.unionByName(by_rare).distinct())
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,6 +335,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     errors on they are verified by all shingles of both texts, as are SimHash links (2 bits). Distinct signatures are
     the nodes (texts that agree in the SimHash and all bytes are copies); a band with more than LONG_LIST nodes first links
     them to its least one, then its members of other components are paired too (``across``).
+
+    Null and empty texts have no shingles and are copies of one another; a text of fewer words than a shingle is one shingle. Repeated
+    rows and rows without an id stay rows; a component of such rows only has the id null. Other columns are not read.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")

@@ -125,19 +125,47 @@ def test_near_copies_meet(docs, texts):
     assert len({got[i] for i in range(6, 31)}) == 25
 
 
-def test_near_copies_of_long_bands(spark, monkeypatch):
-    """Long lists give the components that pairing every list gives: chains of edits, so that no one text is near all others."""
-    rnd, words, out = np.random.default_rng(5), [f"w{i}" for i in range(200)], []
-    for k in range(60):
-        words = list(words)
-        for i in rnd.integers(0, 200, 1 + k % 4):
-            words[i] = f"x{k}{i}"
+def exact_components(texts):
+    """Least index reachable over pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets, label = [], list(range(len(texts)))
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    return dict(enumerate(label))
+
+
+def edited(kind):
+    """Near copies: chains of edits, or edits of one base, that is there or not, alone or sharing an edit; most just above or below 0.8."""
+    rnd, out = np.random.default_rng(5), []
+    words = base = [f"w{i}" for i in range(200)]
+    for k in range(70):
+        words = list(words if kind == "chain" else base)
+        edits = 1 + k % 4 if kind == "chain" else k % 8
+        for n, i in enumerate(rnd.integers(0, 200, edits)):
+            words[i] = f"x{k // 6}" if kind == "shared" and n == 0 else f"x{k}_{i}"
         out.append(" ".join(words))
-    d = spark.createDataFrame(rows(out), SCHEMA)
-    part = lambda: {r.doc_id: r.component_id for r in op7_simhash.similar_documents(d).collect()}
-    want = part()
-    monkeypatch.setattr(op7_simhash, "LONG_LIST", 3)
-    assert part() == want
+    return out[1:] if kind == "absent" else out
+
+
+@pytest.mark.parametrize("long_list", [64, 3])
+@pytest.mark.parametrize("kind", ["chain", "base", "absent", "shared"])
+def test_near_copies_are_exact(spark, monkeypatch, kind, long_list):
+    """The components of an exact comparison of all pairs, and the same ones if every list is long."""
+    monkeypatch.setattr(op7_simhash, "LONG_LIST", long_list)
+    t = [*edited(kind), None, "", "one two", "One  two", "one"]
+    got = {r.doc_id: r.component_id for r in op7_simhash.similar_documents(spark.createDataFrame(rows(t), SCHEMA)).collect()}
+    assert got == exact_components(t)
+
+
+def test_similar_texts_below_the_threshold_stay(docs, texts):
+    got = {r.doc_id: r.component_id for r in op7_simhash.similar_documents(docs).collect()}
+    assert got == exact_components(texts)
 
 
 def library(texts, end):
