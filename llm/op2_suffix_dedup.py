@@ -9,7 +9,8 @@ string with the smallest document and start are removed.
 
 So only text that may repeat is suffix-sorted, and it is sorted in pieces that belong together, of bounded size: a
 global suffix order of the whole corpus is neither needed nor built. Equal contexts of one flush meet before the
-exchange, so copies, however many, reach a piece once a flush.
+exchange, so copies, however many, reach a piece once a flush; those of different flushes meet after it. An anchor that is then left
+with one context, with its gram once in it, repeats nothing more and needs no sorting.
 
 Edge cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; rows with one id are ordered by their text
 (see ``keyed``); long runs of one byte have every position as an anchor, which is slow but right.
@@ -86,6 +87,52 @@ def _emit(bucket: np.ndarray, g: np.ndarray, key: np.ndarray, at: np.ndarray, n:
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((int(bucket[o[0]]), len(o), g[o].astype(_U).tobytes() if body is not None else b"", who, text), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+def _chunks(size: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int, int, int]]:
+    """Contexts i:j and their bytes a:b, about ``limit`` bytes at a time."""
+    ends, i = np.cumsum(size), 0
+    while i < len(size):
+        a = int(ends[i] - size[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + limit, side="right")))
+        yield i, j, a, int(ends[j - 1])
+        i = j
+
+
+def _digests(body: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A digest of each context: sums of hashes of its bytes and their places."""
+    out = np.zeros(len(size), _U)
+    for i, j, a, b in _chunks(size):
+        first = np.cumsum(size[i:j]) - size[i:j]
+        place = np.arange(b - a) - np.repeat(first, size[i:j])
+        out[i:j] = np.add.reduceat(mix((body[a:b].astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + place.astype(_U) * _U(0xD6E8FEB86659FD93)), first)
+    return out
+
+
+def _merged(g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, known): of equal contexts under one anchor the first stands for all, the others are known to go."""
+    order = np.lexsort((at, key, digest, n, g))
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = (g[order][1:] == g[order][:-1]) & (n[order][1:] == n[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    # two anchors of one value may have the very same strings: those are one context, not a repeat
+    twice = np.zeros(len(order), dtype=bool)
+    twice[1:] = same[1:] & (key[order][1:] == key[order][:-1]) & (at[order][1:] == at[order][:-1])
+    return np.sort(order[~same]), np.sort(order[same & ~twice])
+
+
+def _alone(g: np.ndarray, n: np.ndarray, body: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Contexts that are the only one of their anchor, and hold its gram once.
+
+    Equal strings of a context have the gram at the same place of each, so twice in the context: these contexts repeat nothing.
+    """
+    _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
+    size = n + length - 1
+    held = np.zeros(len(g), np.int64)
+    for i, j, a, b in _chunks(size):
+        at = gram_hashes(body[a:b].astype(_U), gram) | _U(1)
+        own = np.repeat(np.arange(i, j), size[i:j])
+        held[i:j] = np.bincount(own[: len(at)][(own[: len(at)] == own[gram - 1 :]) & (at == g[own[: len(at)]])] - i, minlength=j - i)
+    return (counts[inverse] == 1) & (held == 1)
+
+
 def _contexts(length: int, gram: int, buckets: int):
     """Contexts of the repeated anchors: key, first string start, number of strings, bytes."""
     w = length - gram + 1
@@ -94,18 +141,10 @@ def _contexts(length: int, gram: int, buckets: int):
         g, key, at, n, digest = (np.concatenate([x[k] for x in held]) for k in range(5))
         body = np.concatenate([x[5] for x in held])
         size = n + length - 1
-        # equal contexts under one anchor: the first stands for all, the others are known to go
-        order = np.lexsort((at, key, digest, n, g))
-        same = np.zeros(len(order), dtype=bool)
-        same[1:] = (g[order][1:] == g[order][:-1]) & (n[order][1:] == n[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-        # two anchors of one value may have the very same strings: those are one context, not a repeat
-        twice = np.zeros(len(order), dtype=bool)
-        twice[1:] = same[1:] & (key[order][1:] == key[order][:-1]) & (at[order][1:] == at[order][:-1])
-        known, first = order[same & ~twice], np.sort(order[~same])
+        first, known = _merged(g, key, at, n, digest)
         starts = np.cumsum(size) - size
         yield from _emit((g[first] % _U(buckets)).astype(np.int64), g[first], key[first], at[first], n[first], _gather(body, starts[first], size[first]), size[first])
         if len(known):
-            known = np.sort(known)
             yield from _emit(_row_bucket(key[known], buckets), g[known], key[known], at[known], n[known], None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +174,7 @@ def _contexts(length: int, gram: int, buckets: int):
                 n = hi - lo + 1
                 a = idx[lo]
                 body = _gather(data, a, n + length - 1)
-                # a digest of each context: sums of its string hashes
-                size = n + length - 1
-                first = np.cumsum(size) - size
-                h = mix((body.astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + (np.arange(len(body)) - np.repeat(first, size)).astype(_U) * _U(0xD6E8FEB86659FD93))
-                held.append((g[p], keys[own[p]], a - offs[own[p]], n, np.add.reduceat(h, first) if len(first) else np.zeros(0, _U), body))
+                held.append((g[p], keys[own[p]], a - offs[own[p]], n, _digests(body, n + length - 1), body))
                 weight += len(body)
                 if weight >= HOLD_BYTES:
                     yield from send(held)
@@ -196,7 +231,7 @@ def _pieces(g: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray]
         yield order[start:]
 
 
-def _resolve(length: int, buckets: int):
+def _resolve(length: int, gram: int, buckets: int):
     limit = MAX_TEXT
 
     def flagged(g, key, at, n, body) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -240,7 +275,16 @@ def _resolve(length: int, buckets: int):
                 else:
                     known.append((key, at, runs))
         if held:
-            for key, at in flagged(*(np.concatenate(x) for x in zip(*held, strict=True))):
+            g, key, at, n, body = (np.concatenate(x) for x in zip(*held, strict=True))
+            size = n + length - 1
+            first, more = _merged(g, key, at, n, _digests(body, size))  # of different flushes
+            known.append((key[more], at[more], n[more]))
+            body = _gather(body, (np.cumsum(size) - size)[first], size[first])
+            g, key, at, n = g[first], key[first], at[first], n[first]
+            size = n + length - 1
+            left = np.nonzero(~_alone(g, n, body, length, gram))[0]
+            body = _gather(body, (np.cumsum(size) - size)[left], size[left])
+            for key, at in flagged(g[left], key[left], at[left], n[left], body):
                 o = np.lexsort((at, key))
                 key, at = key[o], at[o]
                 new = np.ones(len(key), dtype=bool)
@@ -285,7 +329,7 @@ def later_runs(keyed_docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     hit = repeated(text.mapInArrow(_anchors(length, gram, buckets), BLOB), buckets)
     near = squeezed(keyed_docs).join(hit, "row_key").select("row_key", "z", "at")
     met = near.mapInArrow(_contexts(length, gram, buckets), CONTEXTS).repartition(buckets, "bucket")
-    return met.mapInArrow(_resolve(length, buckets), CONTEXTS).repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<int>, n array<int>")
+    return met.mapInArrow(_resolve(length, gram, buckets), CONTEXTS).repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<int>, n array<int>")
 
 
 _OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -80,6 +80,17 @@ def test_op2_large_groups(docs, texts, monkeypatch):
     assert got == bytes_oracle(texts, 100)
 
 
+def test_op2_contexts_of_copies_and_periods(spark):
+    """Copies, partial copies and periodic runs, so that anchors have one context, several, or themselves twice in one."""
+    rnd = random.Random(1)
+    mk = lambda al, n: "".join(rnd.choices(al, k=n))
+    blocks = [mk("abcdefgh", rnd.randint(40, 200)) for _ in range(4)] + ["a" * 150, "ab" * 90, mk("ab", 160)]
+    t = ["".join(rnd.choice(blocks) if rnd.random() < 0.7 else mk("abcdefgh", 60) for _ in range(rnd.randint(0, 5))) for _ in range(40)]
+    t += t[:12]
+    got = {r[0]: tuple(r)[1:] for r in op2_suffix_dedup.dedup_bytes(spark.createDataFrame(rows(t), SCHEMA).repartition(3)).collect()}
+    assert got == bytes_oracle(t, 100)
+
+
 def test_op8(docs, texts):
     count = Counter(tuple(w[i : i + 35]) for t in texts for w in [(t or "").encode().split()] for i in range(len(w) - 34))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op8_recompression.dedup_substrings(docs).collect()}
