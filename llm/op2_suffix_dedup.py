@@ -87,7 +87,7 @@ def _emit(bucket: np.ndarray, g: np.ndarray, key: np.ndarray, at: np.ndarray, n:
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((int(bucket[o[0]]), len(o), g[o].astype(_U).tobytes() if body is not None else b"", who, text), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _chunks(size: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int, int, int]]:
+def _chunks(size: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
     """Contexts i:j and their bytes a:b, about ``limit`` bytes at a time."""
     ends, i = np.cumsum(size), 0
     while i < len(size):
@@ -118,19 +118,20 @@ def _merged(g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, diges
     return np.sort(order[~same]), np.sort(order[same & ~twice])
 
 
-def _alone(g: np.ndarray, n: np.ndarray, body: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Contexts that are the only one of their anchor, and hold its gram once.
+def _alone(g: np.ndarray, n: np.ndarray, starts: np.ndarray, body: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Contexts (at ``starts`` of body) that are the only one of their anchor, and hold its gram once.
 
     Equal strings of a context have the gram at the same place of each, so twice in the context: these contexts repeat nothing.
     """
     _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
-    size = n + length - 1
-    held = np.zeros(len(g), np.int64)
-    for i, j, a, b in _chunks(size):
-        at = gram_hashes(body[a:b].astype(_U), gram) | _U(1)
-        own = np.repeat(np.arange(i, j), size[i:j])
-        held[i:j] = np.bincount(own[: len(at)][(own[: len(at)] == own[gram - 1 :]) & (at == g[own[: len(at)]])] - i, minlength=j - i)
-    return (counts[inverse] == 1) & (held == 1)
+    single = np.nonzero(counts[inverse] == 1)[0]
+    size, out = n[single] + length - 1, np.zeros(len(g), dtype=bool)
+    for i, j, _, _ in _chunks(size):
+        at = gram_hashes(_gather(body, starts[single[i:j]], size[i:j]).astype(_U), gram) | _U(1)
+        own = np.repeat(np.arange(j - i), size[i:j])
+        hit = (own[: len(at)] == own[gram - 1 :]) & (at == g[single[i:j]][own[: len(at)]])
+        out[single[i:j]] = np.bincount(own[: len(at)][hit], minlength=j - i) == 1
+    return out
 
 
 def _contexts(length: int, gram: int, buckets: int):
@@ -234,9 +235,8 @@ def _pieces(g: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray]
 def _resolve(length: int, gram: int, buckets: int):
     limit = MAX_TEXT
 
-    def flagged(g, key, at, n, body) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def flagged(g, key, at, n, starts, body) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         size = n + length - 1
-        starts = np.cumsum(size) - size
         for p in _pieces(g, size, limit):
             if int((size[p] + 1).sum()) <= limit:
                 yield later_strings(g[p], key[p], at[p], n[p], _gather(body, starts[p], size[p]), length)
@@ -276,15 +276,13 @@ def _resolve(length: int, gram: int, buckets: int):
                     known.append((key, at, runs))
         if held:
             g, key, at, n, body = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             size = n + length - 1
+            starts = np.cumsum(size) - size
             first, more = _merged(g, key, at, n, _digests(body, size))  # of different flushes
             known.append((key[more], at[more], n[more]))
-            body = _gather(body, (np.cumsum(size) - size)[first], size[first])
-            g, key, at, n = g[first], key[first], at[first], n[first]
-            size = n + length - 1
-            left = np.nonzero(~_alone(g, n, body, length, gram))[0]
-            body = _gather(body, (np.cumsum(size) - size)[left], size[left])
-            for key, at in flagged(g[left], key[left], at[left], n[left], body):
+            left = first[~_alone(g[first], n[first], starts[first], body, length, gram)]
+            for key, at in flagged(g[left], key[left], at[left], n[left], starts[left], body):
                 o = np.lexsort((at, key))
                 key, at = key[o], at[o]
                 new = np.ones(len(key), dtype=bool)
