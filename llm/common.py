@@ -14,13 +14,22 @@ from keytide.operators.ordering import global_rank
 from keytide.workspace import materialise
 
 BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches are cut by bytes too: 10,000 rows of very long texts do not meet in one. A smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(name) if c.isdigit())) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
