@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
 from llm import op4_decontamination, op6_packing, op7_simhash, op8_recompression, op10_toxicity
+from llm.common import bounded_batches
 from llm.tokens import default_path
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -14,12 +15,14 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at CUT or more go."""
+    bounded_batches(spark)
     model = op10_toxicity.fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return op10_toxicity.scored(docs, model).filter(F.col("toxicity") < op10_toxicity.CUT).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays; rows without an id stay."""
+    bounded_batches(spark)
     r = op7_simhash.similar_documents(docs.filter("doc_id is not null"), SHINGLE_WORDS, SIMILARITY)
     keep = materialise(r.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
     once = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
@@ -28,6 +31,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur more than once go; documents that have nothing left go too."""
+    bounded_batches(spark)
     d = op8_recompression.dedup_substrings(docs.filter("doc_id is not null"), keep_text=True).filter("n_words > n_removed or n_words = 0")
     rest = docs.drop("text", "n_chars")
     out = rest.join(d.select("doc_id", F.col("kept_text").alias("text")), "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
@@ -36,11 +40,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    bounded_batches(spark)
     return op4_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences."""
+    bounded_batches(spark)
     return op6_packing.pack(docs, default_path())
 
 
