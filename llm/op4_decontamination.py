@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Every run of SEED words of a test item is a seed. One pass over the corpus counts the documents that hold each seed. A
-seed is rare if at most RARE_SHARE of the documents hold it, or at most MEDIANS times as many as hold its item's median seed, so
-that every item keeps at least half of its seeds, however often it was copied, and only phrases that are common besides fall away. A second pass joins passages to items by rare seeds and aligns item and passage,
-word by word (match +2, mismatch -1, gap -1), around each diagonal. The score is the best local alignment over that of the whole
-item; a document is contaminated by an item from THRESHOLD on, so paraphrased or edited copies are found and
-short common phrases are not.
+Every run of SEED words of a test item is a seed, and every seed is used, however many documents hold it: a text that shares
+one is aligned with the item, word by word (match +2, mismatch -1, gap -1), around each diagonal. The score is the best local
+alignment over that of the whole item; a document is contaminated by an item from THRESHOLD on, so paraphrased or edited copies
+that keep a seed are found and short common phrases are not. A stretch with too few words of the item for that
+score is not aligned (``can_reach``), so phrases that are common besides cost little.
 
 Items are joined to passages in blocks: one block's seeds and words are sent to every executor, and a block holds at most
 BLOCK_WORDS words, so what is broadcast has a fixed bound; more items mean more blocks, each against all rows.
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from keytide.workspace import materialise
 from llm.common import documents, gram_hashes, span_hashes, text_blocks, word_spans
 
-SEED, RARE_SHARE, MEDIANS, THRESHOLD, BLOCK_WORDS = 4, 0.001, 2, 0.5, 1 << 19
+SEED, THRESHOLD, BLOCK_WORDS = 4, 0.5, 1 << 19
 MATCH, MISS, GAP = 2, -1, -1
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[65:91] += 32
@@ -64,10 +63,6 @@ class Items:
         self.h, self.item, self.at = hh[o], np.array(item, dtype=np.int64)[o], np.array(at, dtype=np.int64)[o]
         self.uniq = np.unique(self.h)
 
-    def keep(self, seeds: np.ndarray) -> None:
-        m = np.isin(self.h, seeds)
-        self.h, self.item, self.at = self.h[m], self.item[m], self.at[m]
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman: (best score, start and end in the passage), by anti-diagonals."""
@@ -97,6 +92,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
+def can_reach(item: np.ndarray, passage: np.ndarray, least: float) -> bool:
+    """False only if no alignment scores ``least``: it matches no more words than either side has of the other."""
+    return MATCH * min(np.isin(item, passage).sum(), np.isin(passage, item).sum()) >= least - 1e-9
+
+
 def _seed_hits(items: Items, seed: int, data: np.ndarray, offs: np.ndarray):
     """(word starts, first, names, positions of seed hits): every place where a seed of the block stands within one text."""
     low = plain(data)
@@ -110,28 +110,10 @@ def _seed_hits(items: Items, seed: int, data: np.ndarray, offs: np.ndarray):
     return first, names, g, hit[ok], owner[ok]
 
 
-def _count(rows: list, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, total = Items(rows, seed), {}
-        for b in batches:
-            for _, data, offs in text_blocks(np.arange(b.num_rows), b.column(1)):
-                _, _, g, hit, owner = _seed_hits(items, seed, data, offs)
-                if len(hit):
-                    pair = np.unique(np.stack([owner.astype(np.uint64), g[hit]]), axis=1)  # a document counts once
-                    h, n = np.unique(pair[1], return_counts=True)
-                    for x, c in zip(h.tolist(), n.tolist(), strict=True):
-                        total[x] = total.get(x, 0) + c
-        if total:
-            h = np.array(list(total), dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(list(total.values()), pa.int64())], names=["seed", "n"])
-
-    return run
-
-
 _OUT = "doc_row bigint, doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint, n_seeds bigint"
 
 
-def _match(rows: list, seed: int, seeds: np.ndarray, threshold: float):
+def _match(rows: list, seed: int, threshold: float):
     names_out = [x.split()[0] for x in _OUT.split(", ")]
 
     def spans(items: Items, item: int, diag: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
@@ -149,8 +131,6 @@ def _match(rows: list, seed: int, seeds: np.ndarray, threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(rows, seed)
-        items.keep(seeds)
-        items.uniq = np.unique(items.h)
         for b in batches:
             ids, out, base = b.column(0).to_pylist(), [], 0
             for _, data, offs in text_blocks(np.arange(b.num_rows), b.column(1)):
@@ -162,7 +142,9 @@ def _match(rows: list, seed: int, seeds: np.ndarray, threshold: float):
                         found.setdefault((o, int(items.item[s])), set()).add(p - int(first[o]) - int(items.at[s]))
                 for (o, i), diag in found.items():
                     text, w = names[first[o] : first[o + 1]], items.words[i]
-                    best = max((align(w, text[x:y]) + (x,) for x, y in spans(items, i, np.array(list(diag)), len(text))), key=lambda t: t[0])
+                    least = threshold * MATCH * len(w)
+                    likely = [(x, y) for x, y in spans(items, i, np.array(list(diag)), len(text)) if can_reach(w, text[x:y], least)]
+                    best = max((align(w, text[x:y]) + (x,) for x, y in likely), key=lambda t: t[0], default=(0, 0, 0, 0))
                     score = best[0] / (MATCH * len(w))
                     if score >= threshold:
                         out.append((None, ids[base + o], items.ids[i], score, best[3] + best[1], best[3] + best[2] - 1, len(diag)))
@@ -201,17 +183,9 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, see
     """(doc_id, item_id, score, first_word, last_word, n_seeds): the best alignment of each contaminated document and item."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n_docs, out = d.count(), None
+    out = None
     for rows in _item_blocks(items, item_col, item_text):
-        held = d.mapInArrow(_count(rows, seed), "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-        df = {r["seed"] & (1 << 64) - 1: r["n"] for r in held.collect()}  # no more seeds than the block has words
-        block, rare = Items(rows, seed), {h for h, n in df.items() if n <= RARE_SHARE * n_docs}
-        for i in range(len(rows)):
-            mine = block.h[block.item == i].tolist()
-            if mine:
-                most = MEDIANS * np.median([df.get(h, 0) for h in mine])
-                rare.update(h for h in mine if df.get(h, 0) <= most)
-        part = d.mapInArrow(_match(rows, seed, np.array(sorted(rare), dtype=np.uint64), threshold), _OUT).drop("doc_row")
+        part = d.mapInArrow(_match(rows, seed, threshold), _OUT).drop("doc_row")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], _OUT).drop("doc_row")
 

@@ -278,6 +278,18 @@ def test_op4(spark):
     assert [r.doc_id for r in op4_decontamination.decontaminate(d, items).orderBy("doc_id").collect()] == [2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("every", [4.3, 5, 6])
+def test_op4_finds_edited_copies_however_many(spark, every):
+    """Edited passages with less than half of their item's seeds, in 1, 2 and 30 documents of 1,100 and no whole copy beside them."""
+    items = [[f"i{k}w{n}" for n in range(40)] for k in range(3)]
+    edit = lambda w: [x if int(i % every) else "changed" for i, x in enumerate(w)]
+    held = [0, 1, 1, *[2] * 30]
+    texts = [f"before {n} " + " ".join(edit(items[k])) + " after" for n, k in enumerate(held)] + [f"filler {n}" for n in range(1_067)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = op4_decontamination.matches(spark.createDataFrame(rows(texts), SCHEMA), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == list(enumerate(held))
+
+
 def test_alignment_is_smith_waterman():
     rnd = np.random.default_rng(2)
     for _ in range(30):
