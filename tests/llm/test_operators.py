@@ -290,6 +290,18 @@ def test_op4_finds_edited_copies_however_many(spark, every):
     assert sorted((r.doc_id, r.item_id) for r in got) == list(enumerate(held))
 
 
+@pytest.mark.parametrize("more", [0, 1_100])
+def test_pipeline_decontaminates_tables_of_any_size(spark, tmp_path, more):
+    """An edited copy in one document goes, in a table of three rows as in a larger one."""
+    import corpus_pipeline as c
+
+    item = [f"leak{n}" for n in range(40)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["clean text", "pre " + " ".join(x if i % 5 else "changed" for i, x in enumerate(item)) + " post", "other text", *[f"filler {n}" for n in range(more)]]
+    left = c.benchmark_decontamination(spark, spark.createDataFrame(rows(texts), SCHEMA), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [0, *range(2, 3 + more)]
+
+
 def test_alignment_is_smith_waterman():
     rnd = np.random.default_rng(2)
     for _ in range(30):
