@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
 from llm import op4_decontamination, op6_packing, op7_simhash, op8_recompression, op10_toxicity
-from llm.common import bounded_batches
+from llm.common import bounded_batches, numbered
 from llm.tokens import default_path
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -21,20 +21,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays; rows without an id stay."""
+    """Of each group of linked rows, the one with the smallest id stays (of rows with one id, the first by text); rows without an id stay."""
     bounded_batches(spark)
-    r = op7_simhash.similar_documents(docs.filter("doc_id is not null"), SHINGLE_WORDS, SIMILARITY)
-    keep = materialise(r.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    once = docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    d = numbered(docs.filter("doc_id is not null"), "_row")
+    r = op7_simhash.similar_documents(d, SHINGLE_WORDS, SIMILARITY, id_col="_row")
+    keep = materialise(r.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row")))
+    return d.join(keep, "_row", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur more than once go; documents that have nothing left go too."""
     bounded_batches(spark)
-    d = op8_recompression.dedup_substrings(docs.filter("doc_id is not null"), keep_text=True).filter("n_words > n_removed or n_words = 0")
-    rest = docs.drop("text", "n_chars")
-    out = rest.join(d.select("doc_id", F.col("kept_text").alias("text")), "doc_id").withColumn("n_chars", F.length("text").cast("bigint"))
+    d = numbered(docs.filter("doc_id is not null"), "_row")
+    kept = op8_recompression.dedup_substrings(d, id_col="_row", keep_text=True).filter("n_words > n_removed or n_words = 0")
+    out = d.drop("text", "n_chars").join(kept.select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("text")), "_row").withColumn("n_chars", F.length("text").cast("bigint"))
     return out.select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -33,6 +33,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _own_keys(docs: DataFrame, id_col: str) -> bool:
+    """Whether ids are all there and all different; a repeated one is looked for by partial counts, one row an id."""
+    n = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return n.filter("n > 1 or doc_id is null").limit(1).count() == 0
+
+
+def numbered(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with all their columns and a unique key: the id, or if ids are missing or repeated the rank by id (nulls last) and text."""
+    if _own_keys(docs, id_col):
+        return docs.withColumn(name, F.col(id_col).cast("bigint"))
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = docs.withColumn("_none", F.col(id_col).isNull())
+    return materialise(global_rank(d, parts, "_none", id_col, text_col, rank=name).drop("_none"))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_key, doc_id, text): a unique key in the order of ids, null texts as empty ones.
 
@@ -40,9 +55,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     (nulls first, then by text), so repeated rows stay apart.
     """
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # a repeated id is looked for by partial counts, one row an id
-    n = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    if n.filter("n > 1 or doc_id is null").limit(1).count() == 0:
+    if _own_keys(docs, id_col):
         return d.select(F.col("doc_id").alias("row_key"), "doc_id", "text")
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return materialise(global_rank(d, parts, "doc_id", "text", rank="row_key").select("row_key", "doc_id", "text"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
-from llm.common import documents, gram_hashes, span_hashes, text_blocks, word_spans
+from llm.common import documents, gram_hashes, numbered, span_hashes, text_blocks, word_spans
 
 SEED, THRESHOLD, BLOCK_WORDS = 4, 0.5, 1 << 19
 MATCH, MISS, GAP = 2, -1, -1
@@ -191,9 +191,10 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, see
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, with their columns."""
-    bad = materialise(matches(docs, items, threshold).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.bad_id), "left_anti")
+    """The rows of ``docs`` that no item contaminates, with their columns; rows with one id or without an id are decided one by one."""
+    d = numbered(docs, "_row")
+    bad = materialise(matches(d, items, threshold, id_col="_row").select(F.col("doc_id").alias("_row")).distinct())
+    return d.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

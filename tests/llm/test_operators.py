@@ -382,3 +382,22 @@ def test_pipeline_stages_take_effect(spark, texts, tmp_path):
     base = len(texts) - 6
     assert base in kept[1] and not {base + k for k in range(1, 5)} & kept[1]
     assert len(t) - 2 in kept[2] and len(t) - 2 not in kept[3] and set(range(7, 31)) <= kept[3] and kept[4] == kept[3]
+
+
+def few(ids_texts):
+    return [(i, t, "en", "s", len(t), 1, "x", 2) for i, t in ids_texts]
+
+
+def test_pipeline_decides_rows_with_one_id_one_by_one(spark, tmp_path):
+    import corpus_pipeline as c
+
+    unique = lambda name: " ".join(f"{name}{n}" for n in range(60))
+    a, u, leak = unique("a"), [unique(f"u{k}x") for k in range(3)], unique("leak")
+    d = spark.createDataFrame(few([(0, a), (1, a), (1, u[0]), (2, u[1]), (2, u[2])]), SCHEMA)
+    near = c.simhash_near_dedup(spark, d, "")
+    want = [(0, a), (1, u[0]), (2, u[1]), (2, u[2])]
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == want and near.columns == d.columns
+    assert sorted((r.doc_id, r.text) for r in c.substring_dedup(spark, near, "").collect()) == want
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    d = spark.createDataFrame(few([(1, a), (1, "x " + leak)]), SCHEMA)
+    assert [r.text for r in c.benchmark_decontamination(spark, d, str(tmp_path)).collect()] == [a]
