@@ -21,21 +21,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows, the one with the smallest id stays (of rows with one id, the first by text); rows without an id stay."""
+    """Of each group of linked rows, the one with the smallest id stays (of rows with one id or none, the first by text; ids go before none)."""
     bounded_batches(spark)
-    d = numbered(docs.filter("doc_id is not null"), "_row")
+    d = numbered(docs, "_row")
     r = op7_simhash.similar_documents(d, SHINGLE_WORDS, SIMILARITY, id_col="_row")
     keep = materialise(r.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row")))
-    return d.join(keep, "_row", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return d.join(keep, "_row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur more than once go; documents that have nothing left go too."""
     bounded_batches(spark)
-    d = numbered(docs.filter("doc_id is not null"), "_row")
+    d = numbered(docs, "_row")
     kept = op8_recompression.dedup_substrings(d, id_col="_row", keep_text=True).filter("n_words > n_removed or n_words = 0")
     out = d.drop("text", "n_chars").join(kept.select(F.col("doc_id").alias("_row"), F.col("kept_text").alias("text")), "_row").withColumn("n_chars", F.length("text").cast("bigint"))
-    return out.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    return out.select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

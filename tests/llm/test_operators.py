@@ -401,3 +401,18 @@ def test_pipeline_decides_rows_with_one_id_one_by_one(spark, tmp_path):
     spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     d = spark.createDataFrame(few([(1, a), (1, "x " + leak)]), SCHEMA)
     assert [r.text for r in c.benchmark_decontamination(spark, d, str(tmp_path)).collect()] == [a]
+
+
+def test_pipeline_rows_without_an_id_take_part(spark):
+    import corpus_pipeline as c
+
+    unique = lambda name: " ".join(f"{name}{n}" for n in range(60))
+    a, b = unique("a"), unique("b")
+    d = spark.createDataFrame(few([(None, a), (5, a), (None, a), (None, b), (None, b), (7, unique("c"))]), SCHEMA)
+    near = c.simhash_near_dedup(spark, d, "")
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted([(5, a), (None, b), (7, unique("c"))], key=str)
+    passage = unique("p")
+    d = spark.createDataFrame(few([(None, "one " + passage), (None, passage + " two"), (5, passage + " three"), (None, "four")]), SCHEMA)
+    left = c.substring_dedup(spark, d, "")
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in left.collect()), key=str) == sorted([(None, "one", 3), (None, "two", 3), (5, "three", 5), (None, "four", 4)], key=str)
+    assert left.columns == d.columns
