@@ -8,7 +8,8 @@ first, so nothing is padded. Tasks pack by themselves: no shuffle, and memory fo
 one open sequence a tier, whatever the input.
 
 Each sequence has a step group; groups of a tier are dealt so that each holds the same number of tokens (sequences of one
-tier are equally long): position in its task's tier modulo ``groups``.
+tier are equally long): position in its task's tier modulo ``groups``, from a start that moves on by one from task to task and
+from length to length, so lengths of which a task closes few are dealt too.
 
 Null and empty texts are their end id alone. Ids need not be unique: every row is packed.
 """
@@ -95,7 +96,7 @@ def _pack(tokenizer_path: str, end_id: int, max_len: int, min_len: int, groups:
         def put(closed) -> None:
             for size, pieces in closed:
                 at = 0
-                k = state["of"][size] = state["of"].get(size, -1) + 1
+                k = state["of"][size] = state["of"].get(size, part + size.bit_length() - 1) + 1
                 for doc, start, ids, n in pieces:
                     state["rows"].append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n, state["seq"], at, size, k % groups))
                     at += len(ids)

@@ -230,6 +230,15 @@ def test_op6(docs, texts):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_op6_deals_few_sequences_of_many_tasks_to_all_groups(spark):
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows(["one small text"] * 32), 32), SCHEMA)
+    tokens = Counter()
+    for r in op6_packing.pack(d, default_path()).collect():
+        tokens[r.sequence_length, r.step_group] += r.length
+    for size in {s for s, _ in tokens}:
+        assert len({tokens[size, g] for g in range(op6_packing.GROUPS)}) == 1
+
+
 def test_op3(spark):
     big = "<p>é</p>" * 200
     pages = [(1, "http://a/ b", big), (2, None, big), (9, "http://c", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", "WARC/1.1\r\n\r\n" * 100)]
