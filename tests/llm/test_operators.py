@@ -425,3 +425,80 @@ def test_pipeline_rows_without_an_id_take_part(spark):
     left = c.substring_dedup(spark, d, "")
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in left.collect()), key=str) == sorted([(None, "one", 3), (None, "two", 3), (5, "three", 5), (None, "four", 4)], key=str)
     assert left.columns == d.columns
+
+
+def plain_score(item, text):
+    """Smith-Waterman of two lists of words, cell by cell, over the score of the whole item."""
+    best, last = 0, [0] * (len(text) + 1)
+    for w in item:
+        row = [0]
+        for j, x in enumerate(text):
+            row.append(max(0, last[j] + (2 if w == x else -1), last[j + 1] - 1, row[j] - 1))
+        best, last = max(best, *row), row
+    return best / (2 * len(item))
+
+
+def leaky():
+    """Items, and texts with passages of them: edited by 10 to 50%, in one document or several, in part, with words lost and put in; of the last items, one edit by 20% only."""
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(500)]
+    items, texts = [rnd.sample(vocab, rnd.randint(20, 50)) for _ in range(12)], []
+
+    def passage(item, share):
+        out = []
+        for w in item:
+            kind = rnd.choice("sssdi") if rnd.random() < share else ""
+            out += [f"e{rnd.randrange(10**6)}"] if kind == "s" else [] if kind == "d" else [w, f"e{rnd.randrange(10**6)}"] if kind == "i" else [w]
+        return out
+
+    for k, item in enumerate(items):
+        for share in (0.1, 0.15, 0.2, 0.25, 0.3, 0.5) if k < 6 else (0.2,):
+            p = passage(item, share)
+            texts += [rnd.choices(vocab, k=30) + (p if k % 2 else passage(item, share)) + rnd.choices(vocab, k=30) for _ in range(1 + k % 3)]
+        texts += [rnd.choices(vocab, k=20) + item[: len(item) // 3], rnd.choices(vocab, k=80)]
+    return items, texts
+
+
+def test_op4_equals_smith_waterman_of_all_pairs(spark):
+    items, texts = leaky()
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    d = spark.createDataFrame(rows([" ".join(w) for w in texts]), SCHEMA)
+    got = {(r.doc_id, r.item_id): r.score for r in op4_decontamination.matches(d, bench).collect()}
+    want = {(i, k): plain_score(w, t) for i, t in enumerate(texts) for k, w in enumerate(items)}
+    assert got == {p: x for p, x in want.items() if x >= 0.5} and 40 < len(got) < len(texts)
+
+
+def test_pipeline_run_equals_plain_python(spark, tmp_path):
+    """run() against its five steps in plain Python; only the model's verdicts are given (one text of insults goes)."""
+    import corpus_pipeline as c
+
+    rnd = random.Random(3)
+    items, leaks = leaky()
+    base, shared = [f"b{i}" for i in range(200)], [f"p{i}" for i in range(60)]
+    t = [[w if rnd.random() > k / 200 else f"x{k}" for w in base] for k in range(8)]
+    t += [[f"n{k}", *shared, f"m{k}"] for k in range(4)] + [shared[5:55], *leaks, ["you", "idiot"] * 20, ["one"], []]
+    t = [" ".join(w) for w in t]
+    d = spark.createDataFrame(rows(t), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
+    d.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [i for i, x in enumerate(t) if "idiot" not in x]
+    label = exact_components([t[i] for i in ids])
+    words = {i: t[i].split() for n, i in enumerate(ids) if label[n] == n}
+    count = Counter(tuple(w[p : p + 35]) for w in words.values() for p in range(len(w) - 34))
+    want = {}
+    for i, w in words.items():
+        gone = {q for p in range(len(w) - 34) if count[tuple(w[p : p + 35])] > 1 for q in range(p, p + 35)}
+        left = [x for p, x in enumerate(w) if p not in gone]
+        if (left or not w) and all(plain_score(item, left) < 0.5 for item in items):
+            want[i] = " ".join(left)
+    pieces = defaultdict(list)
+    for r in c.run(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == set(want)
+    for i, tokens in zip(want, library(want.values(), 1), strict=True):
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(tokens)) and r.ids_crc32 == zlib.crc32(np.array(tokens[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(tokens)
