@@ -20,8 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives a lost executor."""
+    """Write to the shared folder and read back: cuts the lineage and survives a lost executor. ``discard`` deletes the table again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     w = df.write.mode("overwrite")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._keytide_table = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read any more; what ``materialise`` did not return is passed over."""
+    for t in tables:
+        path = getattr(t, "_keytide_table", None)
+        if path:
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
