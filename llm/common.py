@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from keytide.operators.ordering import global_rank
 from keytide.workspace import materialise
 
-BLOCK_BYTES = 2 << 20
+#: Small enough for arrays of eight bytes a byte to stay in a core's cache.
+BLOCK_BYTES = 1 << 18
 BATCH_BYTES = 8 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -132,17 +134,26 @@ def _pow(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
         have = (out[0], out[1])
-        if n <= 4 * BLOCK_BYTES:  # a single very long text does not stay in memory
+        if n <= 4 * BLOCK_BYTES:  # those of a single very long span do not stay in memory
             _powers[which] = have
     return have
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit names of byte spans, from one running sum over the block: equal bytes, equal name, wherever they stand."""
-    up, down = _pow(which, len(data) + 1)
-    run = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=run[1:])
-    return mix((run[ends] - run[starts]) * down[starts])
+    """64-bit names of byte spans (in order of their starts), from a running sum over the block: equal bytes, equal name, wherever they stand."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        # a very long text is summed in stretches
+        a = int(starts[i])
+        j = len(starts) if len(data) - a <= BLOCK_BYTES else max(i + 1, int(np.searchsorted(starts, a + BLOCK_BYTES)))
+        part = data[a : int(ends[i:j].max())]
+        up, down = _pow(which, len(part) + 1)
+        run = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=run[1:])
+        s = starts[i:j] - a
+        out[i:j] = mix((run[ends[i:j] - a] - run[s]) * down[s])
+        i = j
+    return out
 
 
 def pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -196,5 +207,32 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(d == 1)[0], np.nonzero(d == -1)[0]
 
 
+def ragged(source: np.ndarray, start: np.ndarray, count: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """source[start:start + count] of each row, one after the other; places are worked out for about ``step`` values at a time."""
+    upto = np.append(0, np.cumsum(count))
+    out, i = np.empty(int(upto[-1]), dtype=source.dtype), 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + step, side="right")) - 1)
+        if j == i + 1:
+            out[upto[i] : upto[j]] = source[start[i] : start[i] + count[i]]
+        else:
+            out[upto[i] : upto[j]] = source[np.repeat(start[i:j] - upto[i:j], count[i:j]) + np.arange(upto[i], upto[j])]
+        i = j
+    return out
+
+
+def lean(run: Callable) -> Callable:
+    """A function of Arrow batches whose worker gives freed memory back to the system when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def binary_array(data: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(data)]).cast(pa.binary())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
-from llm.common import documents, gram_hashes, numbered, span_hashes, text_blocks, word_spans
+from llm.common import documents, gram_hashes, lean, numbered, span_hashes, text_blocks, word_spans
 
 SEED, THRESHOLD, BLOCK_WORDS = 4, 0.5, 1 << 19
 MATCH, MISS, GAP = 2, -1, -1
@@ -162,7 +162,7 @@ def _match(rows: list, seed: int, threshold: float):
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names_out)
 
-    return run
+    return lean(run)
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:

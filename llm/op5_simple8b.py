@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
-from llm.common import documents, keyed, text_blocks
+from llm.common import documents, keyed, lean, text_blocks
 from llm.files import new_folder, open_fs, part_name
 from llm.tokens import default_path, tokenizer
 
@@ -161,7 +161,7 @@ def _write(folder: str, tokenizer_path: str, end_id: int):
         if n_docs:
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": path, "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    return run
+    return lean(run)
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:

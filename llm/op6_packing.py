@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import documents, text_blocks
+from llm.common import documents, lean, text_blocks
 from llm.tokens import default_path, tokenizer
 
 MAX_LEN, MIN_LEN, GROUPS = 2048, 64, 8
@@ -118,7 +118,7 @@ def _pack(tokenizer_path: str, end_id: int, max_len: int, min_len: int, groups:
         if state["rows"]:
             yield out()
 
-    return run
+    return lean(run)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = MAX_LEN, min_len: int = MIN_LEN, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

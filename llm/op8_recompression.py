@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import documents, gram_hashes, keyed, mix, pair_names, picked, span_hashes, squeezed, text_blocks, unsqueeze, word_spans
+from llm.common import documents, gram_hashes, keyed, lean, mix, pair_names, picked, span_hashes, squeezed, text_blocks, unsqueeze, word_spans
 from llm.exchange import BLOB, Sender, bucket_count, repeated
 
 WINDOW = 35
@@ -107,7 +107,7 @@ def _anchors(window: int, buckets: int):
                 yield from out.add(g[p], (mix(g[p]) >> _U(32)), keys[own[p]], pos * 16 + n)
         yield from out.flush()
 
-    return run
+    return lean(run)
 
 
 def _windows(window: int, buckets: int):
@@ -140,7 +140,7 @@ def _windows(window: int, buckets: int):
                 yield from out.add(h1, h2 >> _U(32), keys[own], cand - first[own])
         yield from out.flush()
 
-    return run
+    return lean(run)
 
 
 def repeated_windows(keyed_docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -185,7 +185,7 @@ def _strip(window: int, keep_text: bool):
             cols = [ids, pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests)]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.string())] if keep_text else []), names=["doc_id", "n_words", "n_removed", "kept_sha256"] + (["kept_text"] if keep_text else []))
 
-    return run
+    return lean(run)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
