@@ -1,7 +1,7 @@
 """Columnar exchange of (hash, row, position) entries: which occurrences repeat?
 
 Entries travel packed, a blob for each source flush and bucket of the hash, so the shuffle moves
-about 16 bytes an entry and no row objects. Before sending, equal hashes of one flush are
+about 20 bytes an entry and no row objects. Before sending, equal hashes of one flush are
 merged: one representative goes to the hash's bucket, the others are known to repeat and go, by
 row, to any bucket. So a hash that a third of all rows share puts no more than one entry a
 flush on its bucket.
@@ -29,7 +29,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
 def pack(buckets: np.ndarray, h1: np.ndarray | None, h2: np.ndarray | None, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blobs by bucket; without hashes (None) the entries are known and only pass through."""
     order = np.argsort(buckets.astype(np.uint16) if len(buckets) and buckets.max() < 65536 else buckets, kind="stable")
-    b, key, at = buckets[order], key[order].astype(np.int64), at[order].astype(np.int32)
+    b, key, at = buckets[order], key[order].astype(np.int64), at[order].astype(np.int64)
     h1, h2 = (h1[order].astype(_U), h2[order].astype(np.uint32)) if h1 is not None else (None, None)
     cuts = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1, [len(b)]]) if len(b) else np.zeros(1, np.int64)
     rows = []
@@ -46,7 +46,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> tuple[list, list]:
     for batch in batches:
         for n, h, who in zip(batch.column("n").to_pylist(), batch.column("h"), batch.column("who"), strict=True):
             raw = zstandard.ZstdDecompressor().decompress(who.as_py())
-            key, at = np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n)
+            key, at = np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int64, n, 8 * n)
             hb = h.as_py()
             if hb:
                 hashed.append((np.frombuffer(hb, _U, n), np.frombuffer(hb, np.uint32, n, 8 * n), key, at))
@@ -137,12 +137,12 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(first), 512):
         f, e = first[i : i + 512], ends[i : i + 512]
         offs = np.append(f, e[-1]) - f[0]
-        lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(at[f[0] : e[-1]]))
+        lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(at[f[0] : e[-1]], pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(key[f]), lists], names=["row_key", "at"])
 
 
 def by_row(blobs: DataFrame, buckets: int) -> DataFrame:
-    return blobs.repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<int>")
+    return blobs.repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<bigint>")
 
 
 def repeated(entries: DataFrame, buckets: int, later_only: bool = False) -> DataFrame:

@@ -1,19 +1,23 @@
 """Suffix-array dedup of byte strings.
 
-A string of LENGTH bytes that occurs twice holds, at the same place, the same smallest GRAM-byte hash; such places are the
-anchors. Anchors that occur once rule their strings out (exchange 1). The contexts of the others, that is the
-bytes of all strings that have the anchor as their smallest, meet by anchor (exchange 2), and there the suffix array of
-the contexts, built by difference cover (sort sampled triples, recurse on their names, place the remaining suffixes by one
-symbol and a rank, merge), brings equal strings together: neighbours are compared over LENGTH bytes, and of each group all but the
-string with the smallest document and start are removed.
-
-So only text that may repeat is suffix-sorted, and it is sorted in pieces that belong together, of bounded size: a
-global suffix order of the whole corpus is neither needed nor built. Equal contexts of one flush meet before the
-exchange, so copies, however many, reach a piece once a flush; those of different flushes meet after it. An anchor that is then left
-with one context, with its gram once in it, repeats nothing more and needs no sorting.
-
-Edge cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; rows with one id are ordered by their text
-(see ``keyed``); long runs of one byte have every position as an anchor, which is slow but right.
+A string of LENGTH bytes belongs to the smallest of its GRAM-byte hashes; consecutive strings with one smallest hash are a run, and
+the bytes that a run's strings cover are its context. Equal strings have equal smallest hashes, so a hash that only one
+run has rules its strings out (exchange 1). The contexts of the others meet by hash (exchange 2), and there
+the suffix array of the contexts, built by difference cover (sort sampled triples, recurse on their names, place the remaining
+suffixes by one symbol and a rank, merge), brings equal strings together: neighbours are compared over LENGTH bytes, and of each
+group all but the string with the smallest document and start are removed.
+
+So only text that may repeat is suffix-sorted, and it is sorted in pieces that belong together, of at most PIECE symbols: a
+global suffix order of the whole corpus is neither needed nor built (it would shuffle several rows for each byte).
+Equal contexts, compared by their bytes, are merged before the exchange and after it, so copies, however many, reach a
+suffix array once. A hash that is then left with one context, with its gram once in it, repeats nothing more and is not sorted. A hash with
+more context than a piece is dealt to pieces by a hash of each string; a piece keeps the first of each string and goes
+on with more until all have passed (``later_in_pieces``), so one string may occur any number of times.
+
+Runs are cut at RUN strings and long texts at blocks, so long runs of one byte and very long texts take memory in proportion to their length.
+
+Edge cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; rows with one id are ordered by their text,
+and rows without an id come first (see ``keyed``).
 """
 
 from __future__ import annotations
@@ -26,204 +30,258 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import documents, gram_hashes, keyed, mix, picked, squeezed, text_blocks, unsqueeze, window_min
+from llm.common import BLOCK_BYTES, documents, gram_hashes, keyed, lean, mix, ragged, squeezed, text_blocks, unsqueeze, window_min
 from llm.exchange import BLOB, Sender, _row_bucket, _squeeze, bucket_count, repeated
-from llm.suffixes import MAX_TEXT, equal_neighbours, suffix_array
+from llm.suffixes import equal_neighbours, suffix_array
 
-LENGTH, GRAM = 100, 16
-HOLD_BYTES = 24 << 20
+LENGTH, GRAM = 100, 32
+#: Strings in a run at most (they are counted in one byte), symbols of a suffix array, bytes of contexts that a task merges before it sends them.
+RUN, PIECE, HOLD_BYTES = 255, 1 << 18, 16 << 20
 _U = np.uint64
 CONTEXTS = "bucket int, n bigint, h binary, who binary, body binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("h", pa.binary()), ("who", pa.binary()), ("body", pa.binary())])
 
 
-def _grams(data: np.ndarray, offs: np.ndarray, gram: int):
-    """Hashes of all grams inside one text, their positions, and the owner of each byte."""
-    owner = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-    g = gram_hashes(data.astype(_U), gram) | _U(1)
-    idx = np.nonzero(owner[: len(g)] == owner[gram - 1 :][: len(g)])[0]
-    return g[idx], idx, owner[idx]
-
-
-def _long_only(keys: np.ndarray, data: np.ndarray, offs: np.ndarray, length: int):
-    n = np.diff(offs)
-    keep = n >= length
-    if keep.all():
-        return keys, data, offs, np.nonzero(keep)[0]
-    return keys[keep], data[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), np.nonzero(keep)[0]
+def _blocks(keys: np.ndarray, texts: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(keys, bytes, offsets, first): blocks of whole texts, or a stretch from byte ``first`` on of one very long text, with the bytes that its last strings need."""
+    for k, data, offs in text_blocks(keys, texts):
+        if len(k) > 1 or len(data) <= BLOCK_BYTES + length:
+            yield k, data, offs, 0
+            continue
+        for a in range(0, len(data) - length + 1, BLOCK_BYTES):
+            part = data[a : a + BLOCK_BYTES + length - 1]
+            yield k, part, np.array([0, len(part)]), a
+
+
+def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest hash, first string's start, strings, text) of the runs of a block."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3))
+    low = window_min(gram_hashes(data.astype(_U), gram) | _U(1), length - gram + 1)
+    inside = np.zeros(len(data) + 1, dtype=np.int32)
+    whole = np.diff(offs) >= length
+    np.add.at(inside, offs[:-1][whole], 1)
+    np.add.at(inside, offs[1:][whole] - length + 1, -1)
+    at = np.nonzero(np.cumsum(inside[:n]) > 0)[0]
+    if not len(at):
+        return np.zeros(0, _U), at, at, at
+    value = low[at]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (value[1:] != value[:-1])
+    # texts that stand side by side in the block and both hold strings are apart already: a text's last start is not the byte before the next
+    head = np.nonzero(new)[0]
+    size = np.diff(np.append(head, len(at)))
+    cuts = -(-size // RUN)
+    nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    start = at[np.repeat(head, cuts)] + nth * RUN
+    count = np.minimum(np.repeat(size, cuts) - nth * RUN, RUN)
+    return value[np.repeat(head, cuts)], start, count, np.searchsorted(offs, start, side="right") - 1
 
 
 def _anchors(length: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sender(buckets, False)
         for b in batches:
-            for keys, data, offs in text_blocks(b.column(0).to_numpy(), b.column(1)):
-                keys, data, offs, _ = _long_only(keys, data, offs, length)
-                if not len(keys):
-                    continue
-                g, idx, own = _grams(data, offs, gram)
-                p = picked(g, length - gram + 1, own)
-                yield from out.add(g[p], mix(g[p]) >> _U(32), keys[own[p]], idx[p] - offs[own[p]])
+            for keys, data, offs, first in _blocks(b.column(0).to_numpy(), b.column(1), length):
+                g, start, count, own = runs(data, offs, length, gram)
+                if len(g):
+                    yield from out.add(g, mix(g) >> _U(32), keys[own], (start - offs[own] + first) << 8 | count)
         yield from out.flush()
 
-    return run
-
-
-def _gather(data: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Bytes of spans, one after the other."""
-    first = np.cumsum(n) - n
-    return data[np.repeat(a - first, n) + np.arange(int(n.sum()))]
+    return lean(run)
 
 
-def _emit(bucket: np.ndarray, g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, body: np.ndarray | None, size: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+def _emit(bucket: np.ndarray, g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, body: np.ndarray | None, starts: np.ndarray | None, size: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """One row a bucket; without a body, runs that are known to go."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.concatenate([[0], np.nonzero(np.diff(bucket[order]))[0] + 1, [len(order)]])
-    first = np.cumsum(size) - size if size is not None else None
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         o = order[i:j]
         who = _squeeze(np.diff(key[o].astype(np.int64), prepend=0), at[o].astype(np.int32), n[o].astype(np.int32))
-        text = _squeeze(_gather(body, first[o], size[o])) if body is not None else b""
+        text = _squeeze(ragged(body, starts[o], size[o])) if body is not None else b""
         yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((int(bucket[o[0]]), len(o), g[o].astype(_U).tobytes() if body is not None else b"", who, text), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _chunks(size: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, int, int]]:
-    """Contexts i:j and their bytes a:b, about ``limit`` bytes at a time."""
+def _chunks(size: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Contexts i:j of about ``limit`` bytes together."""
     ends, i = np.cumsum(size), 0
     while i < len(size):
-        a = int(ends[i] - size[i])
-        j = max(i + 1, int(np.searchsorted(ends, a + limit, side="right")))
-        yield i, j, a, int(ends[j - 1])
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + limit, side="right")))
+        yield i, j
         i = j
 
 
-def _digests(body: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A digest of each context: sums of hashes of its bytes and their places."""
+def _digests(body: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A digest of each context: sums of hashes of its bytes and their places. It only orders contexts: equal ones are told by their bytes."""
     out = np.zeros(len(size), _U)
-    for i, j, a, b in _chunks(size):
+    for i, j in _chunks(size):
         first = np.cumsum(size[i:j]) - size[i:j]
-        place = np.arange(b - a) - np.repeat(first, size[i:j])
-        out[i:j] = np.add.reduceat(mix((body[a:b].astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + place.astype(_U) * _U(0xD6E8FEB86659FD93)), first)
+        place = np.arange(int(size[i:j].sum())) - np.repeat(first, size[i:j])
+        out[i:j] = np.add.reduceat(mix((ragged(body, starts[i:j], size[i:j]).astype(_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + place.astype(_U) * _U(0xD6E8FEB86659FD93)), first)
     return out
 
 
-def _merged(g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, known): of equal contexts under one anchor the first stands for all, the others are known to go."""
+def _merged(g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, body: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, known): of contexts with one hash and the same bytes, the first in order of rows stands for all, the others are known to go."""
+    size = n + length - 1
+    digest = _digests(body, starts, size)
     order = np.lexsort((at, key, digest, n, g))
+    a, b = order[:-1], order[1:]
     same = np.zeros(len(order), dtype=bool)
-    same[1:] = (g[order][1:] == g[order][:-1]) & (n[order][1:] == n[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-    # two anchors of one value may have the very same strings: those are one context, not a repeat
-    twice = np.zeros(len(order), dtype=bool)
-    twice[1:] = same[1:] & (key[order][1:] == key[order][:-1]) & (at[order][1:] == at[order][:-1])
-    return np.sort(order[~same]), np.sort(order[same & ~twice])
+    same[1:] = (g[b] == g[a]) & (n[b] == n[a]) & (digest[b] == digest[a])
+    k = np.nonzero(same)[0]
+    for i, j in _chunks(size[order[k]]):
+        x, y = order[k[i:j] - 1], order[k[i:j]]
+        differ = ragged(body, starts[x], size[x]) != ragged(body, starts[y], size[y])
+        if differ.any():
+            same[k[i:j][np.unique(np.repeat(np.arange(j - i), size[x])[differ])]] = False
+    return np.sort(order[~same]), np.sort(order[same])
 
 
 def _alone(g: np.ndarray, n: np.ndarray, starts: np.ndarray, body: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Contexts (at ``starts`` of body) that are the only one of their anchor, and hold its gram once.
+    """Contexts that are the only one of their hash, and hold its gram once.
 
     Equal strings of a context have the gram at the same place of each, so twice in the context: these contexts repeat nothing.
     """
     _, inverse, counts = np.unique(g, return_inverse=True, return_counts=True)
     single = np.nonzero(counts[inverse] == 1)[0]
     size, out = n[single] + length - 1, np.zeros(len(g), dtype=bool)
-    for i, j, _, _ in _chunks(size):
-        at = gram_hashes(_gather(body, starts[single[i:j]], size[i:j]).astype(_U), gram) | _U(1)
+    for i, j in _chunks(size):
+        at = gram_hashes(ragged(body, starts[single[i:j]], size[i:j]).astype(_U), gram) | _U(1)
         own = np.repeat(np.arange(j - i), size[i:j])
         hit = (own[: len(at)] == own[gram - 1 :]) & (at == g[single[i:j]][own[: len(at)]])
         out[single[i:j]] = np.bincount(own[: len(at)][hit], minlength=j - i) == 1
     return out
 
 
+def _smallest(data: np.ndarray, start: np.ndarray, length: int, gram: int, step: int = 2048) -> np.ndarray:
+    """The smallest hash of each string."""
+    out = np.zeros(len(start), _U)
+    for i in range(0, len(start), step):
+        rows = data[start[i : i + step, None] + np.arange(length)]
+        g = np.append(gram_hashes(rows.ravel().astype(_U), gram) | _U(1), np.zeros(gram - 1, _U)).reshape(rows.shape)
+        out[i : i + step] = g[:, : length - gram + 1].min(axis=1)
+    return out
+
+
 def _contexts(length: int, gram: int, buckets: int):
-    """Contexts of the repeated anchors: key, first string start, number of strings, bytes."""
-    w = length - gram + 1
+    """Contexts of the repeated hashes: key, first string start, number of strings, bytes."""
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
-        g, key, at, n, digest = (np.concatenate([x[k] for x in held]) for k in range(5))
-        body = np.concatenate([x[5] for x in held])
+        g, key, at, n = (np.concatenate([x[k] for x in held]) for k in range(4))
+        body = np.concatenate([x[4] for x in held])
         size = n + length - 1
-        first, known = _merged(g, key, at, n, digest)
         starts = np.cumsum(size) - size
-        yield from _emit((g[first] % _U(buckets)).astype(np.int64), g[first], key[first], at[first], n[first], _gather(body, starts[first], size[first]), size[first])
+        first, known = _merged(g, key, at, n, body, starts, length)
+        yield from _emit((g[first] % _U(buckets)).astype(np.int64), g[first], key[first], at[first], n[first], body, starts[first], size[first])
         if len(known):
-            yield from _emit(_row_bucket(key[known], buckets), g[known], key[known], at[known], n[known], None, None)
+            yield from _emit(_row_bucket(key[known], buckets), g[known], key[known], at[known], n[known], None, None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for batch in batches:
-            loffs, lvals, place = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(), 0
+            lists = batch.column(2)
+            loffs, lvals, place = lists.offsets.to_numpy(), lists.values.to_numpy(), 0
             for keys, data, offs in text_blocks(batch.column(0).to_numpy(), unsqueeze(batch.column(1))):
                 counts = np.diff(loffs[place : place + len(keys) + 1])
-                mine = lvals[loffs[place] : loffs[place + len(keys)]].astype(np.int64)
-                anchor = np.repeat(offs[:-1], counts) + mine  # bytes where repeated anchors stand
+                mine = lvals[loffs[place] : loffs[place + len(keys)]]
+                own = np.repeat(np.arange(len(keys)), counts)
                 place += len(keys)
-                if not len(anchor):
+                if not len(mine):
                     continue
-                g, idx, own = _grams(data, offs, gram)
-                low = window_min(g, w)
-                whole = own[: len(low)] == own[w - 1 :]
-                at_gram = np.searchsorted(idx, anchor)  # anchors by their place among the grams
-                # the strings whose smallest gram is this anchor's: consecutive starts s in (p - w, p] with low[s] == g[p]
-                span = at_gram[:, None] - np.arange(w - 1, -1, -1)[None, :]
-                ok = (span >= 0) & (span < len(low))
-                safe = np.where(ok, span, 0)
-                has = ok & whole[safe] & (low[safe] == g[at_gram][:, None]) & (own[safe] == own[at_gram][:, None])
-                any_ = has.any(axis=1)
-                lo = span[np.arange(len(span)), has.argmax(axis=1)][any_]
-                hi = span[np.arange(len(span)), w - 1 - has[:, ::-1].argmax(axis=1)][any_]
-                p = at_gram[any_]
-                n = hi - lo + 1
-                a = idx[lo]
-                body = _gather(data, a, n + length - 1)
-                held.append((g[p], keys[own[p]], a - offs[own[p]], n, _digests(body, n + length - 1), body))
-                weight += len(body)
-                if weight >= HOLD_BYTES:
-                    yield from send(held)
-                    held, weight = [], 0
+                at, n = mine >> 8, mine & 255
+                for i, j in _chunks(n + length - 1, HOLD_BYTES // 4):
+                    start, size = offs[own[i:j]] + at[i:j], n[i:j] + length - 1
+                    # the hash of a run is that of its first string
+                    g = _smallest(data, start, length, gram)
+                    held.append((g, keys[own[i:j]], at[i:j], n[i:j], ragged(data, start, size)))
+                    weight += int(size.sum())
+                    if weight >= HOLD_BYTES:
+                        yield from send(held)
+                        held, weight = [], 0
         if held:
             yield from send(held)
 
-    return run
+    return lean(run)
 
 
-def later_strings(g: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, start) of the strings of these contexts that are not the first of their kind, by suffix array."""
+def equal_strings(body: np.ndarray, starts: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(later, first): of the n[k] strings from starts[k] on, numbered in a row, those that equal one before them, and the others, by suffix array."""
     size = n + length - 1
     # each context ends in a symbol below every byte, so that no string runs on
-    text = np.zeros(int(size.sum() + len(size)), dtype=np.uint8)
     first = np.cumsum(size + 1) - (size + 1)
-    inside = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(body))
-    text[inside] = body
+    inside = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    text = np.zeros(int((size + 1).sum()), dtype=np.uint8)
+    text[inside] = ragged(body, starts, size)
     t = np.ones(len(text), dtype=np.int64)
-    t[inside] = body.astype(np.int64) + 2
-    is_start = np.zeros(len(text), dtype=bool)
-    place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    is_start[place] = True
-    k, s = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=np.int64)
-    k[place] = np.repeat(key, n)
-    s[place] = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    t[inside] = text[inside].astype(np.int64) + 2
+    number = np.full(len(text), -1, dtype=np.int64)
+    number[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.arange(int(n.sum()))
     order = suffix_array(t)
-    order = order[is_start[order]]
-    same = equal_neighbours(text, order, length)
-    group = np.cumsum(~same) - 1
-    # the smallest (key, start) of each group stays
-    ko, so = k[order], s[order]
-    o = np.lexsort((so, ko, group))
-    head = np.ones(len(o), dtype=bool)
-    head[1:] = group[o][1:] != group[o][:-1]
-    lead = o[head][group]
-    later = (ko != ko[lead]) | (so != so[lead])
-    return ko[later], so[later]
+    order = order[number[order] >= 0]
+    head = np.nonzero(~equal_neighbours(text, order, length))[0]
+    number = number[order]
+    lead = np.minimum.reduceat(number, head)
+    return number[number != np.repeat(lead, np.diff(np.append(head, len(order))))], lead
+
+
+def later_in_pieces(body: np.ndarray, at: np.ndarray, length: int, salt: int = 0) -> Iterator[np.ndarray]:
+    """Which of the strings at ``at`` (in order of rows and starts) equal one before them, looked at a piece at a time.
+
+    Strings are parted by a hash, equal ones together. A part passes through pieces: what a piece has found to be the first of its kind goes
+    on into the next, until all strings have passed. A part with too many different strings is parted again.
+    """
+    room = max(2, PIECE // (length + 1))
+    if len(at) <= room:
+        if len(at):
+            yield equal_strings(body, at, np.ones(len(at), np.int64), length)[0]
+        return
+    h = np.full(len(at), salt, dtype=_U)
+    for i in range(length):
+        h = h * _U(0x100000001B3) + body[at + i].astype(_U)
+    parts = 2 * -(-len(at) // room)
+    part = (mix(h + _U(salt)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for mine in np.split(order, np.nonzero(np.diff(part[order]))[0] + 1):
+        kept, i = mine[:0], 0
+        while i < len(mine):
+            if len(kept) > room // 2 and salt < 8:
+                left = np.sort(np.concatenate([kept, mine[i:]]))
+                for x in later_in_pieces(body, at[left], length, salt + 1):
+                    yield left[x]
+                break
+            take = np.sort(np.concatenate([kept, mine[i : i + max(room - len(kept), room // 2)]]))
+            i += max(room - len(kept), room // 2)
+            later, first = equal_strings(body, at[take], np.ones(len(take), np.int64), length)
+            if len(later):
+                yield take[later]
+            kept = take[first]
+
+
+def later_strings(key: np.ndarray, at: np.ndarray, n: np.ndarray, starts: np.ndarray, body: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, start) of the strings of the contexts of one piece, or of one hash, that are not the first of their kind."""
+    o = np.lexsort((at, key))
+    key, at, n, starts = key[o], at[o], n[o], starts[o]
+    upto = np.cumsum(n)
+    if int((n + length).sum()) <= PIECE:
+        found = iter([equal_strings(body, starts, n, length)[0]])
+    else:
+        found = later_in_pieces(body, np.repeat(starts - (upto - n), n) + np.arange(int(upto[-1])), length)
+    for x in found:
+        k = np.searchsorted(upto, x, side="right")
+        yield key[k], at[k] + x - (upto - n)[k]
 
 
 def _pieces(g: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Contexts in order of their anchor, cut between anchors into pieces of at most ``limit`` bytes."""
+    """Contexts in order of their hash, cut between hashes into pieces of at most ``limit`` bytes; a hash with more is a piece by itself."""
     order = np.argsort(g, kind="stable")
     total = 0
     heads = np.concatenate([[0], np.nonzero(np.diff(g[order]))[0] + 1, [len(order)]])
+    upto = np.append(0, np.cumsum(size[order] + 1))
     start = 0
     for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-        w = int((size[order[a:b]] + 1).sum())
+        w = int(upto[b] - upto[a])
         if total and total + w > limit:
             yield order[start:a]
             start, total = a, 0
@@ -232,71 +290,45 @@ def _pieces(g: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray]
         yield order[start:]
 
 
-def _resolve(length: int, gram: int, buckets: int):
-    limit = MAX_TEXT
+def _runs_of_starts(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    o = np.lexsort((at, key))
+    key, at = key[o], at[o]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + 1)
+    f = np.nonzero(new)[0]
+    last = np.append(f[1:], len(key)) - 1
+    return key[f], at[f], at[last] - at[f] + 1
 
-    def flagged(g, key, at, n, starts, body) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = n + length - 1
-        for p in _pieces(g, size, limit):
-            if int((size[p] + 1).sum()) <= limit:
-                yield later_strings(g[p], key[p], at[p], n[p], _gather(body, starts[p], size[p]), length)
-                continue
-            # one anchor with more context than a piece: strings part by a hash of their bytes, equal ones together
-            own = np.repeat(p, n[p])
-            s = np.repeat(starts[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(int(n[p].sum()))
-            text_at = np.repeat(at[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(int(n[p].sum()))
-            h = np.zeros(len(s), dtype=_U)
-            for i in range(length):
-                h = h * _U(0x100000001B3) + body[s + i].astype(_U)
-            part = mix(h) % _U(-(-len(s) * (length + 1) // (limit // 2)))
-            for x in np.unique(part):
-                m = np.nonzero(part == x)[0]
-                if len(m) * (length + 1) <= limit:
-                    yield later_strings(g[own[m]], key[own[m]], text_at[m], np.ones(len(m), np.int64), _gather(body, s[m], np.full(len(m), length)), length)
-                else:  # very many copies of few strings: their bytes as keys
-                    rows = np.ascontiguousarray(body[s[m][:, None] + np.arange(length)]).view(f"V{length}").ravel()
-                    _, inv = np.unique(rows, return_inverse=True)
-                    o = np.lexsort((text_at[m], key[own[m]], inv))
-                    head = np.ones(len(o), dtype=bool)
-                    head[1:] = inv[o][1:] != inv[o][:-1]
-                    lead = o[head][np.cumsum(head) - 1]
-                    later = (key[own[m]][o] != key[own[m]][lead]) | (text_at[m][o] != text_at[m][lead])
-                    yield key[own[m]][o[later]], text_at[m][o[later]]
 
+def _resolve(length: int, gram: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = [], []
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for _, n, h, who, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = d.decompress(who)
-                key, at, runs = np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n).astype(np.int64), np.frombuffer(raw, np.int32, n, 12 * n).astype(np.int64)
+                key, at, count = np.cumsum(np.frombuffer(raw, np.int64, n)), np.frombuffer(raw, np.int32, n, 8 * n).astype(np.int64), np.frombuffer(raw, np.int32, n, 12 * n).astype(np.int64)
                 if h:
-                    held.append((np.frombuffer(h, _U, n), key, at, runs, np.frombuffer(d.decompress(text), np.uint8)))
+                    held.append((np.frombuffer(h, _U, n), key, at, count, np.frombuffer(d.decompress(text), np.uint8)))
                 else:
-                    known.append((key, at, runs))
+                    known.append((key, at, count))
         if held:
             g, key, at, n, body = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             size = n + length - 1
             starts = np.cumsum(size) - size
-            first, more = _merged(g, key, at, n, _digests(body, size))  # of different flushes
+            first, more = _merged(g, key, at, n, body, starts, length)  # of different flushes
             known.append((key[more], at[more], n[more]))
             left = first[~_alone(g[first], n[first], starts[first], body, length, gram)]
-            for key, at in flagged(g[left], key[left], at[left], n[left], starts[left], body):
-                o = np.lexsort((at, key))
-                key, at = key[o], at[o]
-                new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + 1)
-                f = np.nonzero(new)[0]
-                if len(f):
-                    last = np.append(f[1:], len(key)) - 1
-                    known.append((key[f], at[f], at[last] - at[f] + 1))
+            for p in _pieces(g[left], size[left], PIECE):
+                p = left[p]
+                known += [_runs_of_starts(*x) for x in later_strings(key[p], at[p], n[p], starts[p], body, length) if len(x[0])]
         if known:
             key, at, n = (np.concatenate(x) for x in zip(*known, strict=True))
             o = np.lexsort((at, key))
-            yield from _emit(_row_bucket(key[o], buckets), key[o], key[o], at[o], n[o], None, None)
+            yield from _emit(_row_bucket(key[o], buckets), key[o], key[o], at[o], n[o], None, None, None)
 
-    return run
+    return lean(run)
 
 
 def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +388,7 @@ def _strip(length: int):
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(cols))], names=[x.split()[0] for x in _OUT.split(", ")])
 
-    return run
+    return lean(run)
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def test_op2(docs, texts):
 
 
 def test_op2_large_groups(docs, texts, monkeypatch):
-    monkeypatch.setattr(op2_suffix_dedup, "MAX_TEXT", 600)  # workers start from the driver's value, sent with the function
+    monkeypatch.setattr(op2_suffix_dedup, "PIECE", 600)  # workers start from the driver's value, sent with the function
     got = {r[0]: tuple(r)[1:] for r in op2_suffix_dedup.dedup_bytes(docs).collect()}
     assert got == bytes_oracle(texts, 100)
 
