@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.workspace import materialise
+from keytide.workspace import discard, materialise
 from llm import op4_decontamination, op6_packing, op7_simhash, op8_recompression, op10_toxicity
 from llm.common import bounded_batches, numbered
 from llm.tokens import default_path
@@ -14,10 +14,11 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored at CUT or more go."""
+    """Documents scored at CUT or more go. Rows are decided one by one; null and empty texts get the score of no votes and stay."""
     bounded_batches(spark)
     model = op10_toxicity.fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op10_toxicity.scored(docs, model).filter(F.col("toxicity") < op10_toxicity.CUT).select(docs.columns)
+    score = op10_toxicity.free_name(docs, "toxicity")
+    return op10_toxicity.scored(docs, model, column=score).filter(F.col(score) < op10_toxicity.CUT).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +66,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs)
+            out = materialise(out)
+            discard(docs)  # nothing reads what is before the table just written
+        docs = out
     return docs

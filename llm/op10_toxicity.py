@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keytide.workspace import materialise
-from llm.common import documents
+from llm.common import documents, lean
 
 SAMPLE, VOTERS, MIN_DOCS, CUT = 20_000, 256, 4, 0.3
 STEMS = (4, 5, 6, 7, 8)
@@ -172,7 +172,7 @@ def _features(lexicon: list[str]):
             rows = [np.concatenate(v(t or "")).tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], names=["toxic", "x"])
 
-    return run
+    return lean(run)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -211,18 +211,29 @@ def _score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = Voters(model["lexicon"]), np.array(model["w"])
         for b in batches:
-            s = [score_one(float(np.concatenate(v(t or "")) @ w[:-1] + w[-1]), model) for t in b.column("text").to_pylist()]
-            yield b.set_column(b.schema.get_field_index("toxicity"), "toxicity", pa.array(s, pa.float64()))
+            # the text to score is the last column but one, the score the last
+            s = [score_one(float(np.concatenate(v(t or "")) @ w[:-1] + w[-1]), model) for t in b.column(b.num_columns - 2).to_pylist()]
+            columns = [*b.columns[:-2], pa.array(s, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:-2], b.schema.names[-1]])
 
-    return run
+    return lean(run)
 
 
-def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The rows with a column ``toxicity``."""
-    d = docs.withColumn("toxicity", F.lit(None).cast("double"))
-    if text_col != "text":
-        d = d.withColumn("text", F.col(text_col))
-    return d.mapInArrow(_score(model), d.schema)
+def scored(docs: DataFrame, model: dict, text_col: str = "text", column: str = "toxicity") -> DataFrame:
+    """The rows, with all their columns and the score as ``column``, a name that they must not have (see ``free_name``)."""
+    if column in docs.columns:
+        raise ValueError(f"the rows have a column {column} of their own")
+    kept = docs.columns
+    d = docs.select("*", F.col(text_col).alias("_scored_text"), F.lit(None).cast("double").alias(column))
+    schema = docs.withColumn(column, F.lit(None).cast("double")).schema
+    return d.mapInArrow(_score(model), schema).select(*kept, column)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
 
 
 def held_out(doc_id) -> F.Column:

@@ -24,43 +24,61 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keytide.workspace import materialise
-from llm.common import documents, squeezed
+from keytide.workspace import discard, materialise
+from llm.common import documents, lean, squeezed, word_spans
+from llm.exchange import bucket_count
 
 LONG_LIST = 64
 POSITIONS = 8
+#: Bytes from which a text is looked at in stretches.
+LONG_TEXT = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_hashes(text: bytes, size: int) -> list[int]:
+def _words(low: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, LONG_TEXT bytes at a time."""
+    if len(low) <= LONG_TEXT:
+        yield low.split()
+        return
+    data = np.frombuffer(low, np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(low)]))
+    cuts = np.append(np.unique(np.searchsorted(starts, np.arange(0, len(low), LONG_TEXT))), len(starts)).tolist()
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i < j:
+            yield low[starts[i] : ends[j - 1]].split()
+
+
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 (seed 42) of each ``size`` consecutive words, space-joined; of all words, if there are fewer."""
-    words = text.translate(_LOWER).split()
-    if not words:
-        return []
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    line = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - size + 1].tolist()
-    h = xxhash.xxh64_intdigest
-    return [h(line[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
-
-
-def fingerprint(text: bytes, size: int) -> int:
+    h, out, words = xxhash.xxh64_intdigest, [], []
+    for more in _words(text.translate(_LOWER)):
+        words += more
+        if len(words) < size:
+            continue
+        line = b" ".join(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1
+        starts = (ends - lengths)[: len(words) - size + 1].tolist()
+        out.append(np.fromiter((h(line[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, len(starts)))
+        words = words[len(words) - size + 1 :]
+    if out:
+        return np.concatenate(out)
+    return np.array([h(b" ".join(words), 42)] if words else [], dtype=np.uint64)
+
+
+def fingerprint(h: np.ndarray) -> int:
     """Bit set if set in more than half the hashes."""
-    h = shingle_hashes(text, size)
-    if not h:
+    if not len(h):
         return 0
     ones = np.zeros(64, dtype=np.int64)
-    a = np.array(h, dtype=np.uint64)
-    for i in range(0, len(a), 1 << 16):  # bounded, however long the text
-        bits = np.unpackbits(a[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i in range(0, len(h), 1 << 16):  # bounded, however long the text
+        bits = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return sum(1 << i for i in np.nonzero(2 * ones > len(h))[0].tolist())
 
@@ -69,10 +87,10 @@ def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column(1)
-            f = np.fromiter((fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", size) for x in t), np.uint64, len(t))
+            f = np.fromiter((fingerprint(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", size)) for x in t), np.uint64, len(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], names=["doc_id", "fp"])
 
-    return run
+    return lean(run)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +125,9 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     met = long.select("fp", F.explode(flips).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
     centre = met.groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("v", "a")
     stars = met.join(materialise(centre), "v").filter(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    out = materialise(pairs.unionByName(stars).distinct())
+    discard(lengths, posted)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,10 +143,14 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours of u, and u itself, go to the least of them
         low = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(e, least, large, low)
+        e = now
         now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out._keytide_table = e._keytide_table
+            return out
         before = now
 
 
@@ -151,16 +175,25 @@ CHAMPIONS = 2
 EPSILON = 1e-9
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 64, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time: no more than ``rows``, and about ``limit`` bytes of text (column 2)."""
+    upto, i = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)), 0
+    while i < batch.num_rows:
+        j = min(i + rows, max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + limit, side="right"))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _signatures(size: int):
     """Of each text: distinct shingles, SimHash, one positional byte for each of BANDS * ROWS minima of the shingle hashes, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for part in _slices(b):
                 texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(2)]
-                fps = np.fromiter((fingerprint(x, size) for x in texts), np.uint64, len(texts))
-                hashes = [np.unique(np.array(shingle_hashes(x, size), dtype=np.uint64)) for x in texts]
+                hashes = [shingle_hashes(x, size) for x in texts]
+                fps = np.fromiter(map(fingerprint, hashes), np.uint64, len(texts))
+                hashes = [np.unique(h) for h in hashes]
                 count = pa.array([len(h) for h in hashes], pa.int32())
                 hashes = [h if len(h) else np.zeros(1, np.uint64) for h in hashes]
                 first = np.cumsum([0] + [len(h) for h in hashes])[:-1]
@@ -175,7 +208,7 @@ def _signatures(size: int):
                     names=["doc_id", "k", "n", "fp", "sig", "bands"],
                 )
 
-    return run
+    return lean(run)
 
 
 def _tally(least: int):
@@ -189,7 +222,7 @@ def _tally(least: int):
             keep = pa.array((x == y).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
@@ -201,7 +234,7 @@ def tallied(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
 def _shingle_set(z: pa.Scalar, size: int) -> np.ndarray:
     text = zstandard.ZstdDecompressor().decompress(z.as_buffer()) if len(z.as_buffer()) else b""
-    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
 def _verify(size: int, similarity: float):
@@ -228,7 +261,7 @@ def _verify(size: int, similarity: float):
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -244,16 +277,79 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(found.groupBy("node").agg(F.first("z").alias("z")))  # rows that repeat id and text are one
 
 
-def _postings(size: int):
-    """(node, h): each distinct shingle of each text."""
+def _postings(size: int, buckets: int):
+    """Of each text (node, label, z), its distinct shingles, packed for their buckets: shingles, nodes, labels, and whether a shingle is common already.
+
+    A shingle that more than LONG_LIST texts of one flush have is sent once, as common.
+    """
+
+    def send(held: list) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([x[2] for x in held])
+        sizes = np.array([len(x[2]) for x in held])
+        node, label = (np.repeat(np.array([x[k] for x in held], dtype=np.int64), sizes) for k in (0, 1))
+        o = np.argsort(h, kind="stable")
+        h, node, label = h[o], node[o], label[o]
+        head = np.nonzero(np.append(True, h[1:] != h[:-1]))[0] if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.append(head, len(h)))
+        common = np.repeat(count > LONG_LIST, count)
+        keep = ~common
+        keep[head] = True
+        h, node, label, common = h[keep], node[keep], label[keep], common[keep]
+        bucket = (h % np.uint64(buckets)).astype(np.int32)
+        o = np.argsort(bucket, kind="stable")
+        cuts = np.concatenate([[0], np.nonzero(np.diff(bucket[o]))[0] + 1, [len(o)]])
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if i < j:
+                k = o[i:j]
+                body = b"".join(x[k].tobytes() for x in (h, node, label, common))
+                yield pa.RecordBatch.from_arrays([pa.array([bucket[k[0]]], pa.int32()), pa.array([j - i], pa.int64()), pa.array([body], pa.binary())], names=["bucket", "n", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            for node, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = _shingle_set(z, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.view(np.int64))], names=["node", "h"])
-
-    return run
+            for node, label, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                held.append((node, label, _shingle_set(z, size)))
+                n += len(held[-1][2])
+                if n >= 1 << 19:
+                    yield from send(held)
+                    held, n = [], 0
+        if held:
+            yield from send(held)
+
+    return lean(run)
+
+
+_RARE = "a bigint, b bigint, n int, rare binary"
+
+
+def _rare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Of a bucket: pairs (a, b) of texts of two components that share a rare shingle; and for each text a, its n rare shingles."""
+    parts = []
+    for b in batches:
+        for n, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            parts.append((np.frombuffer(body, np.uint64, n), np.frombuffer(body, np.int64, n, 8 * n), np.frombuffer(body, np.int64, n, 16 * n), np.frombuffer(body, np.bool_, n, 24 * n)))
+    if not parts:
+        return
+    h, node, label, common = (np.concatenate(x) for x in zip(*parts, strict=True))
+    o = np.lexsort((node, h))
+    h, node, label, common = h[o], node[o], label[o], common[o]
+    head = np.nonzero(np.append(True, h[1:] != h[:-1]))[0] if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(head, len(h)))
+    rare = np.repeat((count <= limit) & ~(np.maximum.reduceat(common, head) if len(head) else np.zeros(0, bool)), count)
+    rows = lambda a, b, n, r: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(r, pa.binary())], names=["a", "b", "n", "rare"])
+    h, node, label = h[rare], node[rare], label[rare]
+    o = np.argsort(node, kind="stable")
+    cuts = np.append(np.nonzero(np.append(True, node[o][1:] != node[o][:-1]))[0], len(o)).tolist() if len(o) else []
+    for k in range(0, len(cuts) - 1, 4096):
+        c = cuts[k : k + 4097]
+        yield rows(node[o][c[:-1]], [None] * (len(c) - 1), np.diff(c), [h[o[i:j]].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)])
+    for step in range(1, limit):
+        hit = (h[step:] == h[:-step]) & (label[step:] != label[:-step]) if len(h) > step else np.zeros(0, bool)
+        if not len(hit) or not (h[step:] == h[:-step]).any():
+            break
+        both = np.unique(np.stack([node[:-step][hit], node[step:][hit]], axis=1), axis=0)
+        if len(both):
+            yield rows(both[:, 0], both[:, 1], [None] * len(both), [None] * len(both))
 
 
 def _dominated(size: int):
@@ -268,12 +364,12 @@ def _dominated(size: int):
                     last, top = champ, _shingle_set(zc, size)
                 x = _shingle_set(zn, size)
                 rest = np.setdiff1d(x, top, assume_unique=True)
-                own = rare.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                own = np.frombuffer(b"".join(rare.as_py()), np.uint64)
                 good.append(len(top) <= len(x) and bool(np.isin(rest, own).all()))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["champ", "node"])
 
-    return run
+    return lean(run)
 
 
 def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
@@ -297,17 +393,15 @@ def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame,
         return None
     named = materialise(named.join(mixed, own))
     label = named.select("node", "label").distinct()
-    held = materialise(texts.join(label, "node").select("node", "z", "label"))
-    posted = materialise(held.select("node", "z").mapInArrow(_postings(shingle), "node bigint, h bigint"))
-    few = materialise(posted.groupBy("h").agg(F.count("*").alias("texts")).filter(F.col("texts") <= LONG_LIST))
-    rare = materialise(posted.join(few, "h").join(label, "node"))
-    by = rare.filter("texts > 1")
-    a, b = (by.select("h", F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    by_rare = a.join(b, "h").filter("a < b and la <> lb").select("a", "b").distinct()
+    held = materialise(texts.join(label, "node").select("node", "label", "z"))
+    n, limit = bucket_count(held), LONG_LIST
+    found = materialise(held.mapInArrow(_postings(shingle, n), "bucket int, n bigint, body binary").repartition(n, "bucket").mapInArrow(lean(lambda batches: _rare(batches, limit)), _RARE))
+    by_rare = found.filter("b is not null").select("a", "b").distinct()
+    rare = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.collect_list("rare").alias("rare"), F.sum("n").cast("int").alias("u"))  # a row a bucket at most
 
     possible = lambda m, u: m * (1 - similarity) >= u * similarity - EPSILON
-    of = held.select("node", "z").join(nodes.select("node", "n"), "node").join(rare.groupBy("node").agg(F.collect_list("h").alias("rare")), "node", "left")
-    of = of.select("node", "z", F.coalesce("rare", F.array().cast("array<bigint>")).alias("rare"), "n").withColumn("u", F.size("rare")).withColumn("c", F.col("n") - F.col("u"))
+    of = held.select("node", "z").join(nodes.select("node", "n"), "node").join(rare, "node", "left")
+    of = of.select("node", "z", F.coalesce("rare", F.array().cast("array<binary>")).alias("rare"), "n", F.coalesce("u", F.lit(0)).alias("u")).withColumn("c", F.col("n") - F.col("u"))
     of = materialise(of.filter(possible(F.col("c"), F.col("u"))))
     members = materialise(named.join(of.select("node", "c", "u"), "node").select(*own, "node", "label", "c", "u"))
     left, met = members, None
@@ -323,7 +417,20 @@ def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame,
     both = named_as(members, "a").join(named_as(materialise(met.unionByName(left)), "b"), own)
     both = both.filter("label_a <> label_b").filter(possible(F.least("c_a", "c_b"), F.col("u_a") + F.col("u_b")))
     pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-    return materialise(pairs.unionByName(by_rare).distinct())
+    out = materialise(pairs.unionByName(by_rare).distinct())
+    discard(held, found, of, members, left)
+    return out
+
+
+def across_short(short: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members of short lists whose components differ and whose sizes allow the similarity; those with the least member were looked at before."""
+    own = ["place", "key"]
+    named = materialise(short.join(comp, "node", "left").select(*own, "node", "n", "centre", F.coalesce("label", "node").alias("label")))
+    mixed = materialise(named.groupBy(*own).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select(*own))
+    named = named.join(mixed, own).filter(F.col("node") != F.col("centre"))
+    a, b = (named.select(*own, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - EPSILON
+    return a.join(b, own).filter("a < b and la <> lb").filter(alike).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,8 +440,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     So the same positional index is also kept over bytes of shingle minima, whose chance to match is the similarity
     itself: pairs that share a band are tallied by equal positional bytes, and from the expected number less ERRORS standard
     errors on they are verified by all shingles of both texts, as are SimHash links (2 bits). Distinct signatures are
-    the nodes (texts that agree in the SimHash and all bytes are copies); a band with more than LONG_LIST nodes first links
-    them to its least one, then its members of other components are paired too (``across``).
+    the nodes (texts that agree in the SimHash and all bytes are copies). The nodes of a band first meet its least one; those that
+    then are in different components are paired too, all of them in bands of up to LONG_LIST nodes (``across_short``), in
+    longer ones those that can matter (``across``). The components are those of all pairs.
 
     Null and empty texts have no shingles and are copies of one another; a text of fewer words than a shingle is one shingle. Repeated
     rows and rows without an id stay rows; a component of such rows only has the id null. Other columns are not read.
@@ -348,31 +456,32 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     listed = nodes.select("node", "n", F.posexplode("bands").alias("place", "key"))
     lengths = materialise(listed.groupBy("place", "key").agg(F.count("*").alias("listed"), F.min("node").alias("centre")).filter("listed > 1"))
     posted = materialise(listed.join(lengths, ["place", "key"]))
-    short, long = posted.filter(F.col("listed") <= LONG_LIST), posted.filter(F.col("listed") > LONG_LIST)
-    a, b = (short.select("place", "key", F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    alike = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - EPSILON
-    pairs = a.join(b, ["place", "key"]).filter("a < b").filter(alike).select("a", "b")
-    stars = long.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = materialise(pairs.unionByName(stars).distinct())
     n = BANDS * ROWS
     least = int(n * similarity - ERRORS * (n * similarity * (1 - similarity)) ** 0.5)
-    near = tallied(pairs, nodes, least)
+    # first, members of each list meet its least one: that links most of what links at all
+    stars = materialise(posted.filter(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     # nodes of one SimHash meet its least node, and so do SimHashes two bits apart
     heads = materialise(nodes.groupBy("fp").agg(F.min("node").alias("head")))
     same = nodes.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     bits = links(heads.select("fp"))
     bits = bits.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    near = materialise(near.unionByName(same).unionByName(bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(long.select("node")).distinct()
-    texts = texts_of(d, materialise(nodes.select("node", F.col("least").alias("doc_id"), "k").join(wanted, "node")))
+    near = materialise(tallied(stars, nodes, least).unionByName(same).unionByName(bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(posted.select("node")).distinct()
+    wanted = materialise(nodes.select("node", F.col("least").alias("doc_id"), "k").join(wanted, "node"))
+    texts = texts_of(d, wanted)
     comp = components(verified(near, texts, shingle, similarity))
-    more = across(long, nodes, texts, comp, shingle, similarity)
-    if more is not None:
-        found = verified(materialise(tallied(more, nodes, least)), texts, shingle, similarity)
-        comp = components(found.unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    discard(stars, heads, near, wanted)
+    # then those of short lists that are in different components yet meet each other, and those of long lists fewer
+    long = posted.filter(F.col("listed") > LONG_LIST)
+    pairs, more = across_short(posted.filter(F.col("listed") <= LONG_LIST), comp, similarity), across(long, nodes, texts, comp, shingle, similarity)
+    meet = materialise(tallied(pairs if more is None else pairs.unionByName(more).distinct(), nodes, least))
+    found = components(verified(meet, texts, shingle, similarity).unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    discard(comp, more, meet, texts, lengths, posted)
+    comp = found
     named = nodes.select("node", "least").join(comp, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     best = materialise(named.groupBy("label").agg(F.min("least").alias("component_id")))
     of = materialise(named.join(best, "label").select("node", "component_id"))
+    discard(comp, best, nodes)
     return f.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
 
 
