@@ -10,8 +10,10 @@ query is its k-th best exact score so far; a candidate is only dropped if its bo
 Candidates are dealt in blocks, queries too (a stated query set against all rows); a task takes one block of
 queries and one stripe of candidates, so its memory is bounded, and keeps k rows for each query and stripe.
 
-Scores are exact: components are integers, products are summed in int64. Ties go to the smaller id. Null vectors, vectors with
-null or non-finite components, null ids, and vectors of another length than most take no part. Repeated rows are rows.
+Scores are exact: components are integers, products are summed in int64 (components beyond 2**31 could overflow it). Ties go to the
+smaller id. Null vectors, vectors with null or non-finite components and null ids take no part. Vectors meet those of
+their own length. Repeated candidate rows are rows; queries with one id and one vector are one query, those with one id and
+different vectors are queries of their own, and rows with a query's id are never its candidates.
 """
 
 from __future__ import annotations
@@ -94,36 +96,36 @@ def _matrix(v: pd.Series) -> np.ndarray:
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int, levels=LEVELS, query_block: int = QUERY_BLOCK, stripe: int = STRIPE) -> DataFrame:
-    """Both tables: (id bigint, v array<bigint>), all v of one length. -> (query_id, rank, vec_id, score)."""
+    """Both tables: (id bigint, v array<bigint>). -> (query_id, rank, vec_id, score)."""
+    queries = queries.select("id", "v").distinct().withColumn("qn", F.xxhash64("v"))
     nq, nc = queries.count(), vectors.count()
     # as many stripes as tasks can run, but none under SMALL_STRIPE rows, and none over ``stripe``
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q_blocks, stripes = max(1, -(-nq // query_block)), max(1, -(-nc // stripe), min(tasks, -(-nc // SMALL_STRIPE)))
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))).withColumn("cs", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)))).withColumn("is_q", F.lit(True))
-    c = vectors.withColumn("cs", F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint")))).withColumn("is_q", F.lit(False))
-    both = q.select("qb", "cs", "is_q", "id", "v").unionByName(c.select("qb", "cs", "is_q", "id", "v"))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("id", "qn"), F.lit(q_blocks))).withColumn("cs", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    c = vectors.withColumn("cs", F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
+    both = q.select("qb", "cs", F.lit(True).alias("is_q"), "id", "qn", "v").unionByName(c.select("qb", "cs", F.lit(False).alias("is_q"), "id", F.lit(0).cast("bigint").alias("qn"), "v"))
+    both = both.withColumn("n", F.size("v"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.is_q], pdf[~pdf.is_q]
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            return pd.DataFrame({"query_id": [], "qn": [], "vec_id": [], "score": []}, dtype=np.int64)
         best, ids, count = block_topk(a.id.to_numpy(), _matrix(a.v), b.id.to_numpy(), _matrix(b.v), k, levels)
         real = np.arange(k)[None, :] < count[:, None]
-        return pd.DataFrame({"query_id": np.repeat(a.id.to_numpy(), count), "vec_id": ids[real], "score": best[real]})
+        return pd.DataFrame({"query_id": np.repeat(a.id.to_numpy(), count), "qn": np.repeat(a.qn.to_numpy(), count), "vec_id": ids[real], "score": best[real]})
 
-    part = both.groupBy("qb", "cs").applyInPandas(run, "query_id bigint, vec_id bigint, score bigint")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    part = both.groupBy("n", "qb", "cs").applyInPandas(run, "query_id bigint, qn bigint, vec_id bigint, score bigint")
+    w = Window.partitionBy("query_id", "qn").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> DataFrame:
-    """(id, v): floor(scale * x) of vectors whose components are all there and finite; of the most frequent length."""
+    """(id, v): floor(scale * x) of vectors whose components are all there and finite."""
     x = F.col(vec_col)
     t = table.select(F.col(id_col).cast("bigint").alias("id"), x.cast("array<double>").alias("x")).filter("id is not null and x is not null")
     t = t.filter(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size("x") > 0))
-    lengths = t.groupBy(F.size("x").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    n = lengths[0]["n"] if lengths else 1
-    return t.filter(F.size("x") == n).select("id", F.transform("x", lambda e: F.floor(e * scale).cast("bigint")).alias("v"))
+    return t.select("id", F.transform("x", lambda e: F.floor(e * scale).cast("bigint")).alias("v"))
 
 
 def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +136,7 @@ def op1_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 with f as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT as score
-  from f q join f c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::INTEGER as rank from s)
+s as (select q.vec_id as query_id, q.v as qv, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT as score
+  from (select distinct vec_id, v from f where vec_id % 20 = 0) q join f c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+r as (select *, (row_number() over (partition by query_id, qv order by score desc, vec_id))::INTEGER as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20"""

@@ -148,14 +148,14 @@ def _match(rows: list, seed: int, threshold: float):
                     score = best[0] / (MATCH * len(w))
                     if score >= threshold:
                         out.append((None, ids[base + o], items.ids[i], score, best[3] + best[1], best[3] + best[2] - 1, len(diag)))
-                for i in items.short:  # items shorter than a seed: their words in a row
+                for i in items.short:  # items shorter than a seed: their words in a row, at the first place in each text
                     w = items.words[i]
-                    gs = gram_hashes(names, len(w))
-                    want = gram_hashes(w, len(w))[0]
-                    for p in np.nonzero(gs == want)[0].tolist():
-                        o = int(np.searchsorted(first, p, side="right")) - 1
-                        if p + len(w) <= first[o + 1]:
-                            out.append((None, ids[base + o], items.ids[i], 1.0, p - int(first[o]), p - int(first[o]) + len(w) - 1, 1))
+                    p = np.nonzero(gram_hashes(names, len(w)) == gram_hashes(w, len(w))[0])[0]
+                    o = np.searchsorted(first, p, side="right") - 1
+                    inside = p + len(w) <= first[o + 1]
+                    texts, at, count = np.unique(o[inside], return_index=True, return_counts=True)
+                    for t, q, n in zip(texts.tolist(), (p[inside][at] - first[texts]).tolist(), count.tolist(), strict=True):
+                        out.append((None, ids[base + t], items.ids[i], 1.0, q, q + len(w) - 1, n))
                 base += len(offs) - 1
             if out:
                 cols = list(zip(*out, strict=True))

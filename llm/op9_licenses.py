@@ -16,6 +16,7 @@ without license words has empty labels, null places and score 0.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,8 +97,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     blocks = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(strings(order), words_of(line)))
     none = F.array().cast("array<struct<label:string,n:int,size:int,need:int>>")
     hits = F.when(F.arrays_overlap("w", strings(sorted(postings))), F.flatten(F.transform(blocks, probe))).otherwise(none)
-    may = F.col("low").contains("license") | F.col("low").contains("cc")
-    spots = F.array(*[F.struct(F.lit(label).alias("label"), F.when(may, _places(F.col("w"), p.split())).otherwise(F.array().cast("array<int>")).alias("at")) for p, label in phrases.items()])
+    # a text without one of a phrase's words holds no place of it
+    may = lambda p: reduce(lambda a, b: a & b, [F.col("low").contains(x) for x in sorted(set(p.split()), key=lambda x: (-len(x), x))])
+    spots = F.array(*[F.struct(F.lit(label).alias("label"), F.when(may(p), _places(F.col("w"), p.split())).otherwise(F.array().cast("array<int>")).alias("at")) for p, label in phrases.items()])
     d = d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), hits.alias("hits"), spots.alias("spots"))
     at = F.flatten(F.transform("spots", lambda s: s["at"]))
     base = F.transform(F.filter("spots", lambda s: F.size(s["at"]) > 0), lambda s: s["label"])

@@ -264,13 +264,14 @@ def test_arc(version):
 def test_op1(spark):
     rnd = np.random.default_rng(3)
     v = rnd.integers(-3, 4, (300, 20)).astype(float) / 7
-    table = [(i, x.tolist(), "c") for i, x in enumerate(v)] + [(900, None, "c"), (901, [float("nan")] * 20, "c"), (902, [None] * 20, "c"), (903, [1.0], "c"), (None, v[0].tolist(), "c")]
+    table = [(i, x.tolist(), "c") for i, x in enumerate(v)] + [(900, None, "c"), (901, [float("nan")] * 20, "c"), (902, [None] * 20, "c"), (903, [1.0], "c"), (None, v[0].tolist(), "c"), (920, [0.5, 1.0], "c"), (921, [1.0, 1.0], "c"), (20, v[20].tolist(), "d")]
     df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, v string")
     iv = op1_segment_topk.integer_vectors(df, "vec_id", "embedding")
     got = sorted(map(tuple, op1_segment_topk.topk(iv, iv.filter("id % 20 = 0"), 20, stripe=64, query_block=4).collect()))
     n = np.floor(64 * v).astype(np.int64)
-    want = [(q, k + 1, c, s) for q in range(0, 300, 20) for k, (s, c) in enumerate(sorted(((int(n[q] @ n[c]), c) for c in range(300) if c != q), key=lambda t: (-t[0], t[1]))[:20])]
-    assert got == want
+    # a repeated row: one query, two candidates; vectors of another length meet each other alone
+    want = [(q, k + 1, c, s) for q in range(0, 300, 20) for k, (s, c) in enumerate(sorted(((int(n[q] @ n[c]), c) for c in [*range(300), 20] if c != q), key=lambda t: (-t[0], t[1]))[:20])]
+    assert got == sorted([*want, (920, 1, 921, 32 * 64 + 64 * 64)])
 
 
 def test_op4(spark):
@@ -281,8 +282,9 @@ def test_op4(spark):
     noise = lambda k: rnd.choices(vocab, k=k)
     texts = [" ".join(noise(50) + item + noise(50)), " ".join(noise(30) + edited + noise(5)).upper(), " ".join(noise(200)), " ".join(noise(20) + item[:9] + noise(20)), None, ""]
     items = spark.createDataFrame([(7, " ".join(item), 1), (8, None, 1), (9, "", 1), (10, "tiny item", 1)], "item_id bigint, text string, doc_id int")
-    d = spark.createDataFrame(rows([*texts, "a tiny, item here"]), SCHEMA)
+    d = spark.createDataFrame(rows([*texts, "a tiny, item here, and a tiny item there"]), SCHEMA)
     got = {(r.doc_id, r.item_id): r for r in op4_decontamination.matches(d, items).collect()}
+    assert op4_decontamination.matches(d, items).count() == 3 and got[6, 10].n_seeds == 2 and got[6, 10].first_word == 1
     assert set(got) == {(0, 7), (1, 7), (6, 10)} and got[0, 7].score == 1.0 and got[0, 7].first_word == 50 and got[0, 7].last_word == 89
     assert [r.doc_id for r in op4_decontamination.decontaminate(d, items).orderBy("doc_id").collect()] == [2, 3, 4, 5]
 
@@ -328,6 +330,49 @@ def test_op9(spark):
     assert got[0] == (5, 1, 3, 3, "mit", "mit", 1.0) and got[1][1:6] == (1, 7, 7, "gpl", "gpl")
     assert got[2] == got[3] == (0, 0, None, None, "", "", 0.0) and got[4][:5] == (5, 2, 0, 2, "cc-by") and got[5][:5] == (2, 0, None, None, "")
     assert got[6][4:6] == ("cc-by", "cc-by,cc-by-nc")
+    own = {r.doc_id: (r.n_base, r.base_labels) for r in op9_licenses.scan(spark.createDataFrame(rows(["put in the Public Domain", "public"]), SCHEMA), phrases={"public domain": "pd"}).collect()}
+    assert own == {0: (1, "pd"), 1: (0, "")}
+
+
+def test_op2_one_string_many_times(monkeypatch):
+    """More context than a piece: strings pass through pieces and the first of each kind stays."""
+    monkeypatch.setattr(op2_suffix_dedup, "PIECE", 300)
+    rnd = np.random.default_rng(6)
+    for kinds in (1, 3, 40, 400):
+        strings = rnd.integers(0, 3, (kinds, 20)).astype(np.uint8)
+        which = rnd.integers(0, kinds, 400)
+        later = np.sort(np.concatenate(list(op2_suffix_dedup.later_in_pieces(strings[which].ravel(), np.arange(400) * 20, 20))))
+        seen, want = set(), []
+        for i, k in enumerate(which):
+            if strings[k].tobytes() in seen:
+                want.append(i)
+            seen.add(strings[k].tobytes())
+        assert later.tolist() == want
+
+
+def test_op2_long_runs(spark):
+    """Runs over a block: of one byte, of a period, and a long text twice."""
+    rnd = random.Random(8)
+    long = "".join(rnd.choices("abcdefghij ", k=300_000))
+    t = ["a" * 400_000, "xyz" * 1000, "q" + "a" * 150, long, "zz" + long[1000:290_000]]
+    got = {r[0]: tuple(r)[1:] for r in op2_suffix_dedup.dedup_bytes(spark.createDataFrame(rows(t), SCHEMA)).collect()}
+    assert got == bytes_oracle(t, 100)
+
+
+def test_very_long_text_of_tokens():
+    """A text of many pieces gives the library's ids."""
+    rnd = random.Random(2)
+    t = " ".join("".join(rnd.choices("abcdé日'", k=rnd.randint(1, 8))) for _ in range(60_000))
+    data = np.frombuffer(t.encode(), np.uint8)
+    assert tokenizer(default_path()).encode_block(data, np.array([0, len(data)]))[0].tolist() == library([t], 0)[0][:-1]
+
+
+def test_toxicity_stage_leaves_columns_of_its_name(spark, tmp_path):
+    import corpus_pipeline as c
+
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.createDataFrame([(2, "fine words here", 9.5), (3, "you idiot " * 20, 1.0), (None, None, None)], "doc_id bigint, text string, toxicity double")
+    assert sorted(map(tuple, c.toxicity(spark, d, str(tmp_path)).collect()), key=str) == sorted([(2, "fine words here", 9.5), (None, None, None)], key=str)
 
 
 def test_op10_held_out_accuracy(spark):
