@@ -21,6 +21,26 @@ def range_sort(df: DataFrame, parts: int, *by: str) -> DataFrame:
     return df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """The rows, written once, with their partition and their place in it."""
+    return materialise(df.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+
+
+def _before(placed: DataFrame, weight: Column) -> DataFrame:
+    """(_part, _base): what the partitions before each one add up to; the driver folds one number a partition."""
+    offsets, at = [], 0
+    for part, n in sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(weight.cast("bigint").alias("n")).collect()):
+        offsets.append((part, at))
+        at += n
+    return placed.sparkSession.createDataFrame(offsets, "_part int, _base bigint")
+
+
+def stored_rank(df: DataFrame, rank: str = "rank") -> DataFrame:
+    """1-based position of each row in the order in which partitions and their rows stand: nothing is sorted."""
+    placed = _placed(df)
+    return placed.join(F.broadcast(_before(placed, F.count("*"))), "_part").select(*df.columns, (F.col("_base") + F.col("_at") + 1).alias(rank))
+
+
 def global_rank(df: DataFrame, parts: int, *by: str, rank: str = "rank") -> DataFrame:
     """1-based position in the total order, without sending all rows through one partition.
 
@@ -28,19 +48,15 @@ def global_rank(df: DataFrame, parts: int, *by: str, rank: str = "rank") -> Data
     partition its offset. Counting and ranking read the same written rows, so sampled range
     bounds cannot differ between the two.
     """
-    by = by or ("key",)
-    placed = range_sort(df, parts, *by).select(
-        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")
-    )
-    placed = materialise(placed)
-    offsets, at = [], 0
-    for part, n in sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()):
-        offsets.append((part, at))
-        at += n
-    base = df.sparkSession.createDataFrame(offsets, "_part int, _base bigint")
-    return placed.join(F.broadcast(base), "_part").select(
-        *[c for c in placed.columns if c not in ("_part", "_at")], (F.col("_base") + F.col("_at") + 1).alias(rank)
-    )
+    return stored_rank(range_sort(df, parts, *by), rank)
+
+
+def running_total(df: DataFrame, parts: int, size: str, *by: str, total: str = "upto") -> DataFrame:
+    """Sum of ``size`` over the rows up to and with each one, in order of ``by``: a sum inside each partition, and one number for what is before it."""
+    placed = _placed(range_sort(df, parts, *by))
+    w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumn("_sum", F.sum(size).over(w))
+    return inner.join(F.broadcast(_before(placed, F.sum(size))), "_part").select(*df.columns, (F.col("_base") + F.col("_sum")).cast("bigint").alias(total))
 
 
 def run_sort(df: DataFrame, run: Column, *by: str) -> DataFrame:

@@ -11,12 +11,14 @@ import pyarrow as pa
 
 from keytide.functions.keys import BIAS, HEADER_BYTES
 
-_HEADER = struct.Struct("<QI")
+_HEADER, _SIZE = struct.Struct("<QI"), struct.Struct("<I")
+#: What a scan of keys alone reads at a time; payloads that reach beyond it are passed over.
+KEY_BLOCK = 64 << 10
 SCHEMA = pa.schema([pa.field("key", pa.int64(), False), pa.field("payload", pa.binary(), False)])
 
 
 class TruncatedRecord(ValueError):
-    """The data end inside a record."""
+    """The data, or the range between two cuts, end inside a record."""
 
 
 def encode(key: int, payload: bytes) -> bytes:
@@ -25,25 +27,37 @@ def encode(key: int, payload: bytes) -> bytes:
 
 
 def encode_batch(batch: pa.RecordBatch) -> bytes:
-    keys = batch.column("key").to_numpy(zero_copy_only=False)
-    out = bytearray()
-    for k, p in zip(keys, batch.column("payload"), strict=True):
-        body = p.as_buffer()
-        out += _HEADER.pack(int(k) + BIAS, body.size if body is not None else 0)
-        if body is not None:
-            out += body
-    return bytes(out)
+    """All records of a batch, in whole arrays: headers and payloads are scattered into one buffer."""
+    n = batch.num_rows
+    if not n:
+        return b""
+    keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+    payload = batch.column("payload").fill_null(b"").cast(pa.large_binary())
+    offs = np.frombuffer(payload.buffers()[1], np.int64)[payload.offset : payload.offset + n + 1]
+    head = np.empty(n, dtype=[("key", "<u8"), ("size", "<u4")])
+    head["key"], head["size"] = keys.view(np.uint64) ^ np.uint64(BIAS), np.diff(offs)
+    at = (offs[:-1] - offs[0]) + HEADER_BYTES * np.arange(n)
+    out = np.empty(HEADER_BYTES * n + int(offs[-1] - offs[0]), dtype=np.uint8)
+    body = np.ones(len(out), dtype=bool)
+    raw = head.view(np.uint8).reshape(n, HEADER_BYTES)
+    for j in range(HEADER_BYTES):
+        out[at + j] = raw[:, j]
+        body[at + j] = False
+    if payload.buffers()[2] is not None:
+        out[body] = np.frombuffer(payload.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+    return out.tobytes()
 
 
 def record_offsets(buf: bytes | memoryview, end: int) -> tuple[list[int], int]:
     """Starts of the whole records in buf[:end], and where the first incomplete one begins."""
-    at, starts = 0, []
-    while at + HEADER_BYTES <= end:
-        size = HEADER_BYTES + int.from_bytes(buf[at + 8 : at + 12], "little")
-        if at + size > end:
+    at, starts, size_at = 0, [], _SIZE.unpack_from
+    add, last = starts.append, end - HEADER_BYTES
+    while at <= last:
+        stop = at + HEADER_BYTES + size_at(buf, at + 8)[0]
+        if stop > end:
             break
-        starts.append(at)
-        at += size
+        add(at)
+        at = stop
     return starts, at
 
 
@@ -74,6 +88,9 @@ def decode_stream(
 
     A cut-off last record raises in strict mode and is left out otherwise.
     """
+    if keys_only:
+        yield from _keys(f, start, end, strict)
+        return
     f.seek(start)
     left, buf = end - start, b""
     while left > 0 or buf:
@@ -84,7 +101,7 @@ def decode_stream(
         buf += more
         starts, stop = record_offsets(buf, len(buf))
         if starts:
-            yield to_batch(buf, starts, stop, keys_only)
+            yield to_batch(buf, starts, stop)
         buf = buf[stop:]
         if left <= 0:
             if buf and strict:
@@ -92,3 +109,25 @@ def decode_stream(
             return
         if not starts:
             block_bytes = max(block_bytes * 2, HEADER_BYTES)
+
+
+def _keys(f: BinaryIO, start: int, end: int, strict: bool) -> Iterator[pa.RecordBatch]:
+    """Keys of the records in [start, end): small records are read in blocks, what a payload has beyond its block is not read."""
+    at = start
+    while at < end:
+        f.seek(at)
+        buf = f.read(min(KEY_BLOCK, end - at))
+        place, starts = 0, []
+        while place + HEADER_BYTES <= len(buf):
+            size = HEADER_BYTES + _SIZE.unpack_from(buf, place + 8)[0]
+            if at + place + size > end:
+                break
+            starts.append(place)
+            place += size
+        if starts:
+            yield to_batch(buf, starts, len(buf), True)
+        elif strict:
+            raise TruncatedRecord(f"{end - at} bytes at the end are not a whole record")
+        else:
+            return
+        at += place

@@ -2,11 +2,18 @@
 
 A path may be one file or a folder of part files. Files are opened through pyarrow's file systems,
 so any URI that pyarrow knows will do. Options: ``split_bytes`` (default 128 MB), ``keys_only``,
-``strict``, ``split_mode`` (exact or sampled), ``max_payload``.
+``strict``, ``split_mode`` (sampled or exact), ``max_payload``.
+
+Sampled cuts cost a few reads each and are checked by the tasks: a range that starts at a record and ends with one proves its last cut, so
+a wrong cut makes the task before it fail; exact cuts walk all headers on the driver and are for files whose payloads look like records.
+
+A written folder has a manifest of its part files. A write moves its parts in under new names and then replaces the manifest by a
+rename, so readers see the old files or the new ones, never none; only then are the old parts deleted.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,10 +24,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from keytide.sources.codec import decode_stream, encode_batch
+from keytide.sources.codec import TruncatedRecord, decode_stream, encode_batch
 from keytide.sources.splits import exact_splits, sampled_splits
 
 
+MANIFEST = "_parts.json"
+
+
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -33,8 +43,18 @@ def list_record_files(path: str) -> list[tuple[str, int]]:
         raise FileNotFoundError(path)
     if info.type == pafs.FileType.File:
         return [(p, info.size)]
-    found = fs.get_file_info(pafs.FileSelector(p))
-    return sorted((x.path, x.size) for x in found if x.type == pafs.FileType.File and x.base_name[0] not in "._")
+    found = {x.base_name: x for x in fs.get_file_info(pafs.FileSelector(p)) if x.type == pafs.FileType.File}
+    if MANIFEST in found:
+        return [(found[name].path, found[name].size) for name in _manifest(fs, p)]
+    return sorted((x.path, x.size) for x in found.values() if x.base_name[0] not in "._")
+
+
+def _manifest(fs: pafs.FileSystem, folder: str) -> list[str]:
+    """Names of the part files in order; of a folder without a manifest, all that are not hidden."""
+    if fs.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
+        with fs.open_input_stream(f"{folder}/{MANIFEST}") as f:
+            return json.loads(f.read())
+    return sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(folder)) if x.type == pafs.FileType.File and x.base_name[0] not in "._")
 
 
 @dataclass
@@ -42,6 +62,7 @@ class _Range(InputPartition):
     path: str
     start: int
     end: int
+    last: bool = True
 
 
 class _Reader(DataSourceReader):
@@ -50,7 +71,7 @@ class _Reader(DataSourceReader):
         self.split_bytes = int(options.get("split_bytes", 128 << 20))
         self.keys_only = options.get("keys_only", "false").lower() == "true"
         self.strict = options.get("strict", "true").lower() == "true"
-        self.mode = options.get("split_mode", "exact")
+        self.mode = options.get("split_mode", "sampled")
         self.max_payload = int(options.get("max_payload", 1 << 20))
 
     def partitions(self) -> list[InputPartition]:
@@ -63,13 +84,19 @@ class _Reader(DataSourceReader):
             else:
                 with fs.open_input_file(path) as f:
                     cuts = exact_splits(f, size, parts) if self.mode == "exact" else sampled_splits(f, size, parts, self.max_payload)
-            out += [_Range(path, a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+            out += [_Range(path, a, b, b == size) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         return out or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition.end > partition.start:
             with _fs(self.path)[0].open_input_file(partition.path) as f:
-                yield from decode_stream(f, partition.start, partition.end, strict=self.strict, keys_only=self.keys_only)
+                try:
+                    # only a file's last record may be cut off
+                    yield from decode_stream(f, partition.start, partition.end, strict=self.strict or not partition.last, keys_only=self.keys_only)
+                except TruncatedRecord as e:
+                    if partition.last:
+                        raise
+                    raise TruncatedRecord(f"{partition.path} has no record end at byte {partition.end}: a sampled cut was wrong, or the file is damaged; split_mode=exact tells which") from e
 
 
 @dataclass
@@ -80,7 +107,7 @@ class _Wrote(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Part names carry the partition's number, so name order is partition order. Files appear at commit."""
+    """Part names carry the partition's number; the manifest lists them in partition order. Files count from commit on."""
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.token = path, overwrite, uuid.uuid4().hex
@@ -101,14 +128,18 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[_Wrote | None]) -> None:
         fs, base = _fs(self.path)
         fs.create_dir(base, recursive=True)
-        old = [x.path for x in fs.get_file_info(pafs.FileSelector(base)) if x.type == pafs.FileType.File]
+        old = _manifest(fs, base)
+        new = []
+        for m in sorted((m for m in messages if m is not None), key=lambda m: m.part):
+            new.append(f"part-{m.part:06d}-{self.token[:12]}.bin")
+            fs.move(m.temp, f"{base}/{new[-1]}")
+        fs.create_dir(f"{base}/.tmp-{self.token}", recursive=True)
+        with fs.open_output_stream(f"{base}/.tmp-{self.token}/{MANIFEST}") as f:
+            f.write(json.dumps(new if self.overwrite else old + new).encode())
+        fs.move(f"{base}/.tmp-{self.token}/{MANIFEST}", f"{base}/{MANIFEST}")
         if self.overwrite:
-            for p in old:
-                fs.delete_file(p)
-        shift = 0 if self.overwrite else len(old)
-        for m in messages:
-            if m is not None:
-                fs.move(m.temp, f"{base}/part-{m.part + shift:06d}.bin")
+            for name in old:
+                fs.delete_file(f"{base}/{name}")
         self._clean()
 
     def abort(self, messages: list[_Wrote | None]) -> None:

@@ -100,6 +100,73 @@ def test_empty_source_and_missing_path(spark, tmp_path):
         spark.read.format("recordfile").load(str(tmp_path / "none")).count()
 
 
+def test_sampled_cuts_that_are_wrong_are_noticed(spark, tmp_path):
+    """Payloads made of records mislead sampled cuts; the task before a wrong cut fails, and exact cuts read the file."""
+    register(spark)
+    inner = raw([(i, b"y" * 8) for i in range(400)])
+    records = [(i, inner) for i in range(20)]
+    (tmp_path / "f.bin").write_bytes(raw(records))
+    read = lambda **o: spark.read.format("recordfile").options(split_bytes=20_000, **o).load(str(tmp_path / "f.bin"))
+    with pytest.raises(Exception, match="split_mode=exact"):
+        read().count()
+    with pytest.raises(Exception, match="split_mode=exact"):
+        read(strict="false").count()
+    assert sorted(unbias(r.key) for r in read(split_mode="exact").collect()) == list(range(20))
+
+
+def test_keys_alone_pass_over_payloads():
+    class Counting(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            self.n += len(out)
+            return out
+
+    data = raw([(k, b"x" * 1_000_000) for k in (9, 3, 7)] + [(5, b"")])
+    f = Counting(data)
+    keys = [unbias(k.as_py()) for b in codec.decode_stream(f, 0, len(data), keys_only=True) for k in b.column(0)]
+    assert keys == [9, 3, 7, 5] and f.n < len(data) // 5
+    small = raw([(k, b"y" * (k % 50)) for k in range(9000)])
+    assert [unbias(k.as_py()) for b in codec.decode_stream(io.BytesIO(small), 0, len(small), keys_only=True) for k in b.column(0)] == list(range(9000))
+    with pytest.raises(codec.TruncatedRecord):
+        list(codec.decode_stream(io.BytesIO(small[:-1]), 0, len(small) - 1, keys_only=True))
+    assert sum(b.num_rows for b in codec.decode_stream(io.BytesIO(small[:-1]), 0, len(small) - 1, keys_only=True, strict=False)) == 8999
+
+
+def test_publish_keeps_the_old_files_until_the_new_ones_count(spark, tmp_path):
+    from keytide.sources.recordfile import _Writer
+
+    out = str(tmp_path / "o")
+    first = spark.createDataFrame([(1, b"old")], "key bigint, payload binary")
+    register(spark)
+    first.write.format("recordfile").mode("overwrite").option("path", out).save()
+    w = _Writer(out, True)
+    (tmp_path / "o" / "part-000000-stray.bin").write_bytes(raw([(2, b"half")]))  # moved in by a writer that died before its manifest
+    assert [r.payload for r in spark.read.format("recordfile").load(out).collect()] == [b"old"]
+    w.commit([])
+    assert spark.read.format("recordfile").load(out).count() == 0
+
+
+def test_split_files_have_equal_shares_and_the_rest_last(spark, tmp_path):
+    register(spark)
+    for n, k in ((10, 4), (10_003, 4), (2, 4), (0, 1)):
+        out = str(tmp_path / f"g{n}")
+        generate(spark, n, 16, splits=k).select("key", "payload").write.format("recordfile").mode("overwrite").option("path", out).save()
+        assert [len(decode(open(p, "rb").read())) for p, _ in list_record_files(out)] == [n // k] * (k - 1) + [n // k + n % k]
+
+
+def test_running_total_and_clamp(spark):
+    from pyspark.sql import functions as F
+
+    from keytide.functions.keys import clamp
+
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("w")).repartition(5)
+    got = {r.id: r.upto for r in ordering.running_total(df, 4, "w", "id").collect()}
+    assert got == {i: sum(j % 7 for j in range(i + 1)) for i in range(1000)}
+    assert [r[0] for r in spark.range(5).select(clamp(F.col("id"), F.lit(1), F.lit(3))).collect()] == [1, 1, 2, 3, 3]
+
+
 def test_verify_reports_the_first_violation(spark):
     def part(keys, n):
         return spark.createDataFrame([(k,) for k in keys], "key bigint").coalesce(1) if n == 1 else spark.createDataFrame([(k,) for k in keys], "key bigint").repartition(1)
