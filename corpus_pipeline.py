@@ -22,16 +22,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows, the one with the smallest id stays (of rows with one id or none, the first by text; ids go before none)."""
+    """Of each group of linked rows, the one with the smallest id stays (of rows with one id or none, the first by text; ids go before none).
+
+    Null and empty texts are copies of one another. An empty table stays empty; other columns are carried and not read, whatever their names.
+    """
     bounded_batches(spark)
     d = numbered(docs, "_row")
     r = op7_simhash.similar_documents(d, SHINGLE_WORDS, SIMILARITY, id_col="_row")
     keep = materialise(r.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row")))
-    return d.join(keep, "_row", "left_semi").select(docs.columns)
+    return d.join(keep.hint("merge"), "_row", "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that occur more than once go; documents that have nothing left go too."""
+    """Words in passages that occur more than once go; documents that have nothing left go too, but not those that had no words.
+
+    Rows with one id or none are rows of their own, and their passages count. A null text becomes empty. Documents that lose nothing keep their spacing.
+    """
     bounded_batches(spark)
     d = numbered(docs, "_row")
     kept = op8_recompression.dedup_substrings(d, id_col="_row", keep_text=True).filter("n_words > n_removed or n_words = 0")
@@ -40,13 +46,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, one by one, whatever their ids; null and empty texts hold none, and empty items match nothing."""
     bounded_batches(spark)
     return op4_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; every row is packed, a null or empty text as its end id alone."""
     bounded_batches(spark)
     return op6_packing.pack(docs, default_path())
 

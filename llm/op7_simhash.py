@@ -273,7 +273,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, z): the compressed text of each node of ``wanted`` (node, doc_id, k), from the rows of ``docs`` (row_key, doc_id, text)."""
     w = wanted.select("node", F.col("doc_id").alias("rep"), F.col("k").alias("row_key"))
-    found = squeezed(docs).join(w, "row_key").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    # the join moves the texts at every size, so that what it costs grows with the input alone
+    found = squeezed(docs).join(w.hint("merge"), "row_key").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     return materialise(found.groupBy("node").agg(F.first("z").alias("z")))  # rows that repeat id and text are one
 
 
