@@ -108,8 +108,15 @@ def split_http(body: bytes) -> tuple[bytes, bytes]:
     return b"", body
 
 
-def to_warc(rec: ArcRecord, row: str, refers_to: str | None) -> bytes:
-    """One WARC record, uncompressed: a revisit keeps the HTTP header alone and names the row it repeats."""
+def warcinfo(name: str, date: str = _DATE) -> bytes:
+    """What a file's filedesc:// record becomes: the first record of the WARC file."""
+    body = b"software: legacy archive converter\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, warc_date(date), _sha1(body), 'warcinfo')}", f"WARC-Date: {warc_date(date)}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return "\r\n".join([*lines, f"WARC-Block-Digest: {_sha1(body)}", f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+
+def to_warc(rec: ArcRecord, row: str, refers_to: str | None, refers_url: str = "", refers_date: str = _DATE) -> bytes:
+    """One WARC record, uncompressed: a revisit keeps the HTTP header alone and names the record it repeats by id, URI and date."""
     head, payload = split_http(rec.body)
     digest, date = _sha1(payload), warc_date(rec.fields["date"])
     block = head if refers_to is not None else rec.body
@@ -121,6 +128,7 @@ def to_warc(rec: ArcRecord, row: str, refers_to: str | None) -> bytes:
     ]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Row: {refers_to}"]
+        lines += [f"WARC-Refers-To: {record_id(refers_url, warc_date(refers_date), digest, refers_to)}", f"WARC-Refers-To-Target-URI: {refers_url}", f"WARC-Refers-To-Date: {warc_date(refers_date)}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -146,8 +154,12 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def _coded(url: str | None) -> str:
+    return quote(url or "unknown:", safe=":/?#[]@!$&'()*+,;=%~")
+
+
 def _convert(folder: str):
-    """(page_id, url, html, refers_to) -> ARC bytes -> converter -> WARC files; yields their paths."""
+    """(page_id, url, html, refers_to, refers_url) -> ARC bytes -> converter -> WARC files; yields their paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, path = None, f"{folder}/{part_name('.warc.gz')}"
@@ -157,13 +169,14 @@ def _convert(folder: str):
             if out is None:
                 fs, p = open_fs(path)
                 out = fs.open_output_stream(p)
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True)
-            for i, (page, url, html, ref) in enumerate(rows):
+                out.write(member(warcinfo(path.rsplit("/", 1)[-1])))
+            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)
+            for i, (page, url, html, ref, ref_url) in enumerate(rows):
                 body = html.as_buffer().to_pybytes() if html.is_valid else b""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
-                arc = write_arc(1 + i % 2, [(quote(url or "unknown:", safe=":/?#[]@!$&'()*+,;=%~"), head + body)])
+                arc = write_arc(1 + i % 2, [(_coded(url), head + body)])
                 for rec in read_arc(io.BytesIO(arc)):
-                    out.write(member(to_warc(rec, "" if page is None else str(page), None if ref is None else str(ref))))
+                    out.write(member(to_warc(rec, "" if page is None else str(page), None if ref is None else str(ref), _coded(ref_url))))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path]})
@@ -183,6 +196,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             with fs.open_input_stream(p) as raw, gzip.open(raw) as f:
                 for h, block in read_warc(f):
+                    if h["warc-type"] == "warcinfo":
+                        continue
                     digest = h["warc-payload-digest"]
                     if h["warc-block-digest"] != _sha1(block) or h["warc-type"] == "response" and _sha1(split_http(block)[1]) != digest:
                         raise ValueError("a digest does not fit its record")
@@ -197,11 +212,11 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     p = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    slim = p.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")).filter(F.col("n") >= min_revisit)
+    slim = p.select("page_id", "url", F.sha1("html").alias("digest"), F.octet_length("html").alias("n")).filter(F.col("n") >= min_revisit)
     # only digests that occur more than once can have revisits; written, so that the join can split a hot one
-    largest = materialise(slim.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1 and response is not null").select("digest", "response"))
+    largest = materialise(slim.groupBy("digest").agg(F.max("page_id").alias("response"), F.max_by("url", "page_id").alias("response_url"), F.count("*").alias("n")).filter("n > 1 and response is not null").select("digest", "response", "response_url"))
     j = p.withColumn("digest", F.sha1("html")).join(largest, "digest", "left")
-    j = j.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("response")), F.col("response")).alias("refers_to"))
+    j = j.select("page_id", "url", "html", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("response")), F.col("response")).alias("refers_to"), "response_url")
     return materialise(j.mapInArrow(_convert(new_folder(spark, "warc")), "path string"))
 
 

@@ -252,6 +252,27 @@ def test_op3(spark):
     assert got == sorted(want, key=str)
 
 
+def test_op3_revisits_name_their_record(spark):
+    """A reader that knows nothing of these files resolves every revisit by WARC-Refers-To; each file begins with warcinfo."""
+    import gzip
+
+    big = "<p>x</p>" * 200
+    pages = spark.createDataFrame([(1, "http://a/é b", big), (2, None, big), (9, "http://c d", big), (3, "u", "s")], "page_id bigint, url string, html string")
+    heads = []
+    for r in op3_arc_to_warc.write_archives(pages.repartition(2)).collect():
+        fs, p = op3_arc_to_warc.open_fs(r.path)
+        with fs.open_input_stream(p) as raw, gzip.open(raw) as f:
+            own = [h for h, _ in op3_arc_to_warc.read_warc(f)]
+        assert own[0]["warc-type"] == "warcinfo"
+        heads += own[1:]
+    by_id = {h["warc-record-id"]: h for h in heads}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 2
+    for h in revisits:
+        to = by_id[h["warc-refers-to"]]
+        assert (to["x-source-row"], to["warc-target-uri"], to["warc-date"], to["warc-type"]) == ("9", h["warc-refers-to-target-uri"], h["warc-refers-to-date"], "response")
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc(version):
     bodies = [("http://x", b"HTTP/1.1 200 OK\r\n\r\n" + b"filedesc://no 1 2 3 4\n" * 3), ("http://y", b"")]
