@@ -4,8 +4,9 @@ A vector is cut in equal segments; each keeps its mean and its standard deviatio
 components, sum(q * x) <= n * (mean_q * mean_x + dev_q * dev_x) (Cauchy's inequality on the
 centred parts), so the sum over segments bounds the product from above, and the distance
 |q - x|^2 = |q|^2 + |x|^2 - 2 q.x from below. Bounds of a block are one matrix product a level. A level with more segments
-looks at the pairs the coarser one left; exact integer products are computed for what survives the last. The threshold of a
-query is its k-th best exact score so far; a candidate is only dropped if its bound is strictly under it.
+looks at the pairs the coarser one left; exact integer products are computed for what survives the last: for the surviving pairs alone if
+they are few, else for the box of their rows and columns. The threshold of a
+query is its k-th best exact score so far, from a small first chunk on; a candidate is only dropped if its bound is strictly under it.
 
 Candidates are dealt in blocks, queries too (a stated query set against all rows); a task takes one block of
 queries and one stripe of candidates, so its memory is bounded, and keeps k rows for each query and stripe.
@@ -29,6 +30,9 @@ from keytide.workspace import materialise
 
 LEVELS = (2, 8, 32)
 QUERY_BLOCK, STRIPE, SMALL_STRIPE = 4096, 65_536, 256
+FIRST_CHUNK, ROWS, PAIRS = 256, 256, 1 << 16
+GATHER = 1 / 16  # below this share of a box, products are computed for the surviving pairs alone: above it, the whole box is cheaper
+LOWEST = np.iinfo(np.int64).min
 
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -44,46 +48,75 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
 def block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, levels=LEVELS, chunk: int = 4096, seen: dict | None = None):
     """The k best (score, id) of each query over the candidates: two int64 arrays (queries, k) and how many are real."""
     nq = len(q_ids)
-    best = np.full((nq, k), np.iinfo(np.int64).min)
+    best = np.full((nq, k), LOWEST)
     ids = np.full((nq, k), np.iinfo(np.int64).max)
     count = np.zeros(nq, dtype=np.int64)
     levels = [s for s in levels if s < q.shape[1]]
     stats_q = [statistics(q.astype(np.float64), s) for s in levels]
     size_q = np.abs(q).astype(np.float64).sum(axis=1)
-    # candidates with the largest norms first: their scores raise the thresholds early
+    # candidates with the largest norms first: their scores raise the thresholds early, and so does a small first chunk
     order = np.argsort(-(c.astype(np.float64) ** 2).sum(axis=1), kind="stable")
-    for a in range(0, len(c_ids), chunk):
-        part = order[a : a + chunk]
+    a, step = 0, min(chunk, FIRST_CHUNK)
+    while a < len(c_ids):
+        part = order[a : a + step]
+        a, step = a + step, min(chunk, 2 * step)
         cv, ci = c[part], c_ids[part]
         slack = 1e-9 * (1 + size_q[:, None] * np.abs(cv).max() * 1.0)  # rounding of the bounds
-        floor = np.where(count >= k, best[:, -1], np.iinfo(np.int64).min).astype(np.float64)[:, None]
+        floor = np.where(count >= k, best[:, -1], LOWEST)
         alive = np.ones((nq, len(part)), dtype=bool)
         for s, sq in zip(levels, stats_q, strict=True):
             rows, cols = np.nonzero(alive.any(axis=1))[0], np.nonzero(alive.any(axis=0))[0]
             if not len(rows):
                 break
             bound = sq[rows] @ statistics(cv[cols].astype(np.float64), s).T
-            alive[np.ix_(rows, cols)] &= bound + slack[rows] >= floor[rows]
+            alive[np.ix_(rows, cols)] &= bound + slack[rows] >= floor[rows, None].astype(np.float64)
             if seen is not None:
                 seen[s] = seen.get(s, 0) + int(alive.sum())
-        rows, cols = np.nonzero(alive.any(axis=1))[0], np.nonzero(alive.any(axis=0))[0]
-        if not len(rows):
-            continue
-        dot = _products(q[rows], cv[cols])
-        for r, qi in enumerate(rows.tolist()):
-            take = alive[qi, cols] & (ci[cols] != q_ids[qi])
-            if count[qi] >= k:
-                take &= dot[r] >= best[qi, -1]
-            if not take.any():
+        for i in range(0, nq, ROWS):
+            live = alive[i : i + ROWS]
+            rows, cols = np.nonzero(live.any(axis=1))[0], np.nonzero(live.any(axis=0))[0]
+            pairs = int(live.sum())
+            if not pairs:
                 continue
-            score = np.concatenate([best[qi, : count[qi]], dot[r][take]])
-            cand = np.concatenate([ids[qi, : count[qi]], ci[cols][take]])
-            o = np.lexsort((cand, -score))[:k]
-            count[qi] = len(o)
-            best[qi, : len(o)], ids[qi, : len(o)] = score[o], cand[o]
+            if pairs < GATHER * len(rows) * len(cols):
+                r, j = np.nonzero(live)
+                r += i
+                dot = np.concatenate([_row_products(q[r[x : x + PAIRS]], cv[j[x : x + PAIRS]]) for x in range(0, pairs, PAIRS)])
+                took = pairs
+            else:
+                r, j, dot = _likely(_products(q[rows + i], cv[cols]), live[np.ix_(rows, cols)] & (ci[cols] != q_ids[rows + i, None]), floor[rows + i], k)
+                r, j = rows[r] + i, cols[j]
+                took = len(rows) * len(cols)
+            if seen is not None:
+                seen["exact"] = seen.get("exact", 0) + took
+            ok = (ci[j] != q_ids[r]) & (dot >= floor[r])
+            _take(best, ids, count, r[ok], dot[ok], ci[j[ok]], k)
     return best, ids, count
 
 
+def _likely(dot: np.ndarray, live: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the live pairs of a box that may be among their row's k best, ties with the k-th too."""
+    live &= dot >= floor[:, None]
+    if dot.shape[1] > k and live.sum() > 4 * k * len(dot):
+        live &= dot >= np.partition(np.where(live, dot, LOWEST), dot.shape[1] - k, axis=1)[:, dot.shape[1] - k, None]
+    r, j = np.nonzero(live)
+    return r, j, dot[r, j]
+
+
+def _take(best: np.ndarray, ids: np.ndarray, count: np.ndarray, r: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> None:
+    """Merges scored pairs, in any order, into the k best of their rows: larger scores first, then smaller ids."""
+    touched = np.unique(r)
+    old_r, old_j = np.nonzero(np.arange(k)[None, :] < count[touched][:, None])
+    r = np.concatenate([r, touched[old_r]])
+    score, vec = np.concatenate([score, best[touched[old_r], old_j]]), np.concatenate([vec, ids[touched[old_r], old_j]])
+    o = np.lexsort((vec, ~score, r))
+    r, score, vec = r[o], score[o], vec[o]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    top = place < k
+    best[r[top], place[top]], ids[r[top], place[top]] = score[top], vec[top]
+    count[touched] = np.minimum(k, np.searchsorted(r, touched, side="right") - np.searchsorted(r, touched))
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer products: by floats where they cannot round, else by integers."""
     if len(a) and len(b) and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2.0**53:
@@ -91,6 +124,11 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _row_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact integer products of a's rows with the rows of b beside them."""
+    return np.einsum("ij,ij->i", a, b)
+
+
 def _matrix(v: pd.Series) -> np.ndarray:
     return np.array(v.to_list(), dtype=np.int64).reshape(len(v), -1)
 

@@ -282,6 +282,19 @@ def test_arc(version):
         list(op3_arc_to_warc.read_arc(io.BytesIO(data[:-30])))
 
 
+def test_op1_prunes():
+    """Vectors whose segments are nearly constant: few pairs get an exact product, and the best are those of all pairs."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.integers(-60, 60, (3000, 8)), 8, axis=1) + rng.integers(-1, 2, (3000, 64))
+    ids = rng.permutation(3000)
+    seen: dict = {}
+    best, got, count = op1_segment_topk.block_topk(ids[::20], v[::20], ids, v, 20, seen=seen)
+    assert seen["exact"] < 0.5 * 150 * 3000
+    for i, (q, x) in enumerate(zip(ids[::20].tolist(), v[::20], strict=True)):
+        want = sorted((-int(s), int(c)) for s, c in zip(v @ x, ids, strict=True) if c != q)[:20]
+        assert [(-int(s), int(c)) for s, c in zip(best[i], got[i], strict=True)] == want and count[i] == 20
+
+
 def test_op1(spark):
     rnd = np.random.default_rng(3)
     v = rnd.integers(-3, 4, (300, 20)).astype(float) / 7
