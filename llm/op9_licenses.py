@@ -1,7 +1,9 @@
 """License scans as an exact set-similarity join, in DataFrame functions alone.
 
-Each line of a text is a block; its set of words is compared with a few license templates. A block
-matches a template if it holds at least THRESHOLD of the template's distinct words. Words of
+Blocks of a text are its lines and, so that notices wrapped over lines are found, its windows of consecutive
+words, for each template as long as an edited copy of it may be (its words over THRESHOLD). A block's set of words is compared with a few license
+templates, and matches one if it holds at least THRESHOLD of the template's distinct words. A window that starts with
+a word of no template holds no more than one that starts later, so only the others are looked at. Words of
 templates are ordered by how many documents of the whole corpus hold them, rarest first. A match
 must share one of a template's first |T| - need + 1 words in that order (prefix filter), have at least ``need``
 template words (length filter), and leave enough words on both sides of the shared one
@@ -16,6 +18,7 @@ without license words has empty labels, null places and score 0.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +49,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, _GAP), "")
 
 
+def window_words(template: str, threshold: float) -> int:
+    """Words of the windows that are compared with a template."""
+    return math.ceil(len(template.split()) / threshold - 1e-9)
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
@@ -71,6 +79,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     low = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), low.alias("low")).select("doc_id", "low", words_of(F.col("low")).alias("w"))
     sets = [(label, sorted(set(t.split()))) for label, t in templates]
+    spans = [window_words(t, threshold) for _, t in templates]
     vocabulary = sorted({t for _, s in sets for t in s})
     seen = frequencies(d.select("w"), vocabulary)
     order = sorted(vocabulary, key=lambda t: (seen.get(t, 0), t))
@@ -82,25 +91,40 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         for i, t in enumerate(s[: len(s) - need + 1]):
             postings.setdefault(t, []).append(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(len(s)).alias("size"), F.lit(need).alias("need")))
     index = F.create_map(*[x for t, p in sorted(postings.items()) for x in (F.lit(t), F.array(*p))])
-    full = F.array(*[F.struct(F.lit(label).alias("label"), strings(s).alias("set"), F.lit(math.ceil(threshold * len(s) - 1e-9)).alias("need")) for label, s in sets])
+    full = F.array(*[F.struct(F.lit(label).alias("label"), strings(s).alias("set"), F.lit(math.ceil(threshold * len(s) - 1e-9)).alias("need"), F.lit(span).alias("span")) for (label, s), span in zip(sets, spans, strict=True)])
 
-    def probe(b: Column) -> Column:
-        """Templates that block b (its template words, rarest first) matches, with their containment."""
+    def probe(b: Column, held: Callable[[Column], Column] | None = None) -> Column:
+        """Templates that block b (its template words, rarest first) matches, with their containment; ``held``: the part of b for a template's span."""
         n = F.size(b)
         cand = F.flatten(F.transform(b, lambda t, j: F.transform(
             F.filter(F.coalesce(F.try_element_at(index, t), F.array().cast("array<struct<k:int,i:int,size:int,need:int>>")),
                      lambda p: (n >= p["need"]) & (F.least(p["i"], j) + 1 + F.least(p["size"] - p["i"] - 1, n - j - 1) >= p["need"])),
             lambda p: p["k"])))
-        scored = F.transform(F.array_distinct(cand), lambda k: F.struct(F.get(full, k)["label"].alias("label"), F.size(F.array_intersect(b, F.get(full, k)["set"])).alias("n"), F.size(F.get(full, k)["set"]).alias("size"), F.get(full, k)["need"].alias("need")))
+        scored = F.transform(F.array_distinct(cand), lambda k: F.struct(F.get(full, k)["label"].alias("label"), F.size(F.array_intersect(held(F.get(full, k)["span"]) if held else b, F.get(full, k)["set"])).alias("n"), F.size(F.get(full, k)["set"]).alias("size"), F.get(full, k)["need"].alias("need")))
         return F.filter(scored, lambda m: m["n"] >= m["need"])
 
+    longest = max(spans, default=1)
+
+    def window(spots: Column, j: Column) -> Column:
+        """Templates that the windows from the j-th template word on match."""
+        start = F.get(spots, j)["i"]
+        near = F.filter(F.slice(spots, j + 1, longest), lambda e: e["i"] < start + longest)
+        words = lambda x: F.transform(x, lambda e: e["x"])
+        return probe(F.array_intersect(strings(order), words(near)), lambda span: words(F.filter(near, lambda e: e["i"] < start + span)))
+
     blocks = F.transform(F.split("low", "\n"), lambda line: F.array_intersect(strings(order), words_of(line)))
     none = F.array().cast("array<struct<label:string,n:int,size:int,need:int>>")
-    hits = F.when(F.arrays_overlap("w", strings(sorted(postings))), F.flatten(F.transform(blocks, probe))).otherwise(none)
+    likely = F.arrays_overlap("w", strings(sorted(postings)))
+    hits = F.when(likely, F.flatten(F.transform(blocks, lambda b: probe(b)))).otherwise(none)
+    # windows within one line hold no more than the line
+    places = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"].isin(order))
+    places = F.when(likely & F.col("low").contains("\n"), places).otherwise(F.array().cast("array<struct<i:int,x:string>>"))
+    wrapped = F.flatten(F.transform("places", lambda _, j: window(F.col("places"), j)))
     # a text without one of a phrase's words holds no place of it
     may = lambda p: reduce(lambda a, b: a & b, [F.col("low").contains(x) for x in sorted(set(p.split()), key=lambda x: (-len(x), x))])
     spots = F.array(*[F.struct(F.lit(label).alias("label"), F.when(may(p), _places(F.col("w"), p.split())).otherwise(F.array().cast("array<int>")).alias("at")) for p, label in phrases.items()])
-    d = d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), hits.alias("hits"), spots.alias("spots"))
+    d = d.select("doc_id", F.size("w").cast("bigint").alias("n_words"), hits.alias("hits"), places.alias("places"), spots.alias("spots"))
+    d = d.select("doc_id", "n_words", F.concat("hits", wrapped).alias("hits"), "spots")
     at = F.flatten(F.transform("spots", lambda s: s["at"]))
     base = F.transform(F.filter("spots", lambda s: F.size(s["at"]) > 0), lambda s: s["label"])
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
@@ -120,16 +144,18 @@ def _sql() -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     q = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     spot = lambda p: f"list_filter(range(len(w)), lambda i: " + " and ".join(f"w[i+{k + 1}] = '{x}'" for k, x in enumerate(p.split())) + ")"  # noqa: E731, F541
-    kinds = ", ".join(f"({i}, '{label}', {q(sorted(set(t.split())))})" for i, (label, t) in enumerate(TEMPLATES))
+    kinds = ", ".join(f"({i}, '{label}', {q(sorted(set(t.split())))}, {window_words(t, THRESHOLD)})" for i, (label, t) in enumerate(TEMPLATES))
     return f"""
 with d as (select row_number() over () as r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as low from documents),
 w as (select r, doc_id, low, regexp_extract_all(low, '{word}') as w from d),
 s as (select *, {', '.join(f'{spot(p)} as p{i}' for i, p in enumerate(PHRASES))} from w),
-t(k, label, words) as (values {kinds}),
+t(k, label, words, span) as (values {kinds}),
 l as (select r, unnest(string_split(low, chr(10))) as line from d),
 b as (select r, regexp_extract_all(line, '{word}') as lw from l),
 m as (select r, label, len(list_intersect(list_distinct(lw), words)) / len(words)::DOUBLE as c, len(list_intersect(list_distinct(lw), words)) as n, len(words) as size from b, t),
-h as (select r, list(distinct label) as found, max(c) as best from m where n >= ceil({THRESHOLD} * size - 1e-9) group by r),
+v as (select r, label, len(words) as size, list_max(list_transform(list_filter(range(len(w)), lambda i: list_contains(words, w[i+1])), lambda i: len(list_intersect(list_distinct(w[i+1:i+span]), words)))) as n from w, t),
+c as (select r, label, c, n, size from m union all select r, label, n / size::DOUBLE, n, size from v),
+h as (select r, list(distinct label) as found, max(c) as best from c where n >= ceil({THRESHOLD} * size - 1e-9) group by r),
 x as (select doc_id, len(w)::BIGINT as n_words, list_concat({', '.join(f'p{i}' for i in range(len(PHRASES)))}) as places,
   list_filter([{', '.join(f"case when len(p{i}) > 0 then '{label}' end" for i, label in enumerate(PHRASES.values()))}], lambda y: y is not null) as base, coalesce(found, []) as found, best from s left join h using (r))
 select doc_id, n_words, len(places)::BIGINT as n_base, list_min(places)::BIGINT as first_word, list_max(places)::BIGINT as last_word,

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -358,6 +359,25 @@ def test_alignment_is_smith_waterman():
         assert op4_decontamination.align(a, b)[0] == h.max()
 
 
+def test_op9_wrapped_notices(spark):
+    """Notices wrapped over lines are found by their windows of words, with the rows of the SQL; their words far apart are not."""
+    def wrap(words, n, gap=" "):
+        return "\n".join(gap.join(words[i : i + n]) for i in range(0, len(words), n))
+
+    texts = [f"Before.\n{wrap(t.upper().split(), n)}\nafter it" for _, t in op9_licenses.TEMPLATES for n in (3, 8, 60)]
+    labels = [label for label, _ in op9_licenses.TEMPLATES for _ in (3, 8, 60)]
+    mit = next(t for label, t in op9_licenses.TEMPLATES if label == "mit").split()
+    far = "\n".join(w + " x y z" for w in mit)
+    df = spark.createDataFrame(rows([*texts, far, None, "", "\n\n"]), SCHEMA)
+    got = {r.doc_id: r for r in op9_licenses.scan(df).collect()}
+    for i, label in enumerate(labels):
+        assert label in got[i].labels.split(","), (i, label)
+    assert [got[len(texts) + i].labels for i in range(4)] == [""] * 4 and got[len(texts)].score == 0.0
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert sorted(map(tuple, con.sql(op9_licenses.SQL).fetchall())) == sorted(map(tuple, got.values()))
+
+
 def test_op9(spark):
     t = ["Released under the MIT License.", "x\nThis work is licensed under the GNU General Public License, version 3.\ny", None, "", "cc by cc-BY 4", "a license", "Licensed under CC BY-NC 4.0."]
     got = {r.doc_id: tuple(r)[1:] for r in op9_licenses.scan(spark.createDataFrame(rows(t), SCHEMA)).collect()}
