@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -111,8 +111,8 @@ def decode_stream(
             block_bytes = max(block_bytes * 2, HEADER_BYTES)
 
 
-def _keys(f: BinaryIO, start: int, end: int, strict: bool) -> Iterator[pa.RecordBatch]:
-    """Keys of the records in [start, end): small records are read in blocks, what a payload has beyond its block is not read."""
+def _keys(f: BinaryIO, start: int, end: int, strict: bool) -> Generator[pa.RecordBatch, None, int]:
+    """Keys of the records in [start, end): small records are read in blocks, what a payload has beyond its block is not read. Returns the bytes left over."""
     at = start
     while at < end:
         f.seek(at)
@@ -129,5 +129,16 @@ def _keys(f: BinaryIO, start: int, end: int, strict: bool) -> Iterator[pa.Record
         elif strict:
             raise TruncatedRecord(f"{end - at} bytes at the end are not a whole record")
         else:
-            return
+            break
         at += place
+    return end - at
+
+
+def count_range(f: BinaryIO, start: int, end: int) -> tuple[int, int]:
+    """(whole records, bytes of a cut-off last record) of [start, end), without reading payloads."""
+    walk, n = _keys(f, start, end, False), 0
+    while True:
+        try:
+            n += next(walk).num_rows
+        except StopIteration as done:
+            return n, done.value

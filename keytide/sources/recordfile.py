@@ -2,7 +2,8 @@
 
 A path may be one file or a folder of part files. Files are opened through pyarrow's file systems,
 so any URI that pyarrow knows will do. Options: ``split_bytes`` (default 128 MB), ``keys_only``,
-``strict``, ``split_mode`` (sampled or exact), ``max_payload``.
+``strict``, ``split_mode`` (sampled or exact), ``max_payload``, ``tails`` (a row for each range read: its records and whether
+a cut-off last one, which a read that is not strict drops, was there).
 
 Sampled cuts cost a few reads each and are checked by the tasks: a range that starts at a record and ends with one proves its last cut, so
 a wrong cut makes the task before it fail; exact cuts walk all headers on the driver and are for files whose payloads look like records.
@@ -24,7 +25,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from keytide.sources.codec import TruncatedRecord, decode_stream, encode_batch
+from keytide.sources.codec import TruncatedRecord, count_range, decode_stream, encode_batch
 from keytide.sources.splits import exact_splits, sampled_splits
 
 
@@ -70,6 +71,7 @@ class _Reader(DataSourceReader):
         self.path = options["path"]
         self.split_bytes = int(options.get("split_bytes", 128 << 20))
         self.keys_only = options.get("keys_only", "false").lower() == "true"
+        self.tails = options.get("tails", "false").lower() == "true"
         self.strict = options.get("strict", "true").lower() == "true"
         self.mode = options.get("split_mode", "sampled")
         self.max_payload = int(options.get("max_payload", 1 << 20))
@@ -90,6 +92,12 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if partition.end > partition.start:
             with _fs(self.path)[0].open_input_file(partition.path) as f:
+                if self.tails:
+                    n, left = count_range(f, partition.start, partition.end)
+                    if left and not partition.last:
+                        raise TruncatedRecord(f"{partition.path} has no record end at byte {partition.end}; split_mode=exact tells whether the file is damaged")
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (partition.path, n, int(left > 0), left)], names=["path", "records", "dropped", "dropped_bytes"])
+                    return
                 try:
                     # only a file's last record may be cut off
                     yield from decode_stream(f, partition.start, partition.end, strict=self.strict or not partition.last, keys_only=self.keys_only)
@@ -157,6 +165,8 @@ class RecordFileSource(DataSource):
         return "recordfile"
 
     def schema(self) -> str:
+        if self.options.get("tails", "false").lower() == "true":
+            return "path string, records bigint, dropped bigint, dropped_bytes bigint"
         return "key bigint not null" + ("" if self.options.get("keys_only", "false").lower() == "true" else ", payload binary not null")
 
     def reader(self, schema: StructType) -> DataSourceReader:

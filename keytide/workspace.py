@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -30,7 +31,9 @@ def materialise(df: DataFrame, partition_by: str | None = None) -> DataFrame:
 
 
 def discard(*tables: DataFrame | None) -> None:
-    """Delete written tables that nothing will read any more; what ``materialise`` did not return is passed over."""
+    """Delete written tables that nothing will read any more; what ``materialise`` did not return is passed over. With KEEP_SCRATCH set they stay."""
+    if os.environ.get("KEEP_SCRATCH"):
+        return
     for t in tables:
         path = getattr(t, "_keytide_table", None)
         if path:

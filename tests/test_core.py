@@ -226,3 +226,34 @@ def test_cli(spark, tmp_path):
     assert main(["sort", a, b, "--parts", "3", "--expect", "200", "--single", str(tmp_path / "o.bin")], spark) == 0
     assert main(["verify", b, "--expect", "201"], spark) == 1
     assert main(["verify", a], spark) == 1
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "f.bin").write_bytes(raw([(3, b"abc"), (1, b"d" * 50)])[:-1])
+    assert main(["sort", str(tmp_path / "cut"), str(tmp_path / "c"), "--lenient", "--expect", "1"], spark) == 0
+
+
+def test_cut_off_records_are_counted(spark, tmp_path):
+    register(spark)
+    body = raw([(i, b"x" * (i % 40)) for i in range(5000)])
+    (tmp_path / "a.bin").write_bytes(body)
+    (tmp_path / "b.bin").write_bytes(body[:-1])
+    t = spark.read.format("recordfile").options(split_bytes=30_000, tails="true").load(str(tmp_path)).groupBy("path").agg({"records": "sum", "dropped": "sum"})
+    assert sorted((r["path"][-5:], r["sum(records)"], r["sum(dropped)"]) for r in t.collect()) == [("a.bin", 5000, 0), ("b.bin", 4999, 1)]
+
+
+def test_plan_metrics(spark):
+    from keytide.operators.metrics import last_execution, plan_metrics
+
+    mark = last_execution(spark)
+    spark.range(1000, numPartitions=3).selectExpr("id % 7 as k").sort("k").write.format("noop").mode("overwrite").save()
+    got = {(r.operator, r.metric): r.value for r in plan_metrics(spark, mark).collect()}
+    assert any(o.startswith("Sort") and m == "sort time" for o, m in got) and any(m == "shuffle records written" and v == "1,000" for (o, m), v in got.items())
+
+
+def test_sweep(spark, tmp_path):
+    import json
+
+    from keytide.cli import main
+
+    assert main(["sweep", str(tmp_path), "--sizes", "300", "--workers", "1,2"], spark) == 0
+    found = json.loads((tmp_path / "sweep.json").read_text())
+    assert [(r["variant"], r["workers"]) for r in found] == [("300x16", 1), ("300x16", 2)] and found[0]["speedup"] == 1.0
