@@ -31,7 +31,7 @@ from keytide.workspace import materialise
 LEVELS = (2, 8, 32)
 QUERY_BLOCK, STRIPE, SMALL_STRIPE = 4096, 65_536, 256
 FIRST_CHUNK, ROWS, PAIRS = 256, 256, 1 << 16
-GATHER = 1 / 16  # below this share of a box, products are computed for the surviving pairs alone: above it, the whole box is cheaper
+GATHER = 1 / 32  # below this share of a box, products are computed for the surviving pairs alone; one of those costs as much as some 36 of a box
 LOWEST = np.iinfo(np.int64).min
 
 
