@@ -70,10 +70,10 @@ def _groups(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) ->
 
 
 class Sender:
-    """Collects entries of one task; flushes merge equal hashes before anything is sent."""
+    """Collects entries of one task; flushes merge equal hashes before anything is sent. With ``mark``, see ``repeated``."""
 
-    def __init__(self, buckets: int, later_only: bool) -> None:
-        self.buckets, self.later_only, self.held, self.n = buckets, later_only, [], 0
+    def __init__(self, buckets: int, later_only: bool, mark: bool = False) -> None:
+        self.buckets, self.later_only, self.mark, self.held, self.n = buckets, later_only, mark, [], 0
 
     def add(self, h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((h1, h2.astype(np.uint32), key, at))
@@ -89,17 +89,21 @@ class Sender:
         order, new = _groups(h1, h2, key, at)
         rest = order[~new]
         first = np.sort(order[new])
+        known = at * 2 + 1 if self.mark else at
         if not self.later_only and len(rest):
             # the representative repeats too
             sizes = np.diff(np.append(np.nonzero(new)[0], len(order)))
-            rest = np.concatenate([rest, order[new][sizes > 1]])
+            lead = order[new][sizes > 1]
+            rest = np.concatenate([rest, lead])
+            if self.mark:
+                known[lead] -= 1
         yield from pack((h1[first] % _U(self.buckets)).astype(np.int64), h1[first], h2[first], key[first], at[first])
         if len(rest):
             rest = np.sort(rest)
-            yield from pack(_row_bucket(key[rest], self.buckets), None, None, key[rest], at[rest])
+            yield from pack(_row_bucket(key[rest], self.buckets), None, None, key[rest], known[rest])
 
 
-def _resolve(buckets: int, later_only: bool):
+def _resolve(buckets: int, later_only: bool, mark: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, known = unpack(batches)
         if hashed:
@@ -108,7 +112,11 @@ def _resolve(buckets: int, later_only: bool):
             if later_only:
                 flagged = order[~new]
             else:
-                flagged = order[~(new & np.append(new[1:], True))]
+                alone = new & np.append(new[1:], True)
+                flagged = order[~alone]
+                if mark:
+                    at = at * 2
+                    at[order[~new]] += 1
             known.append((key[flagged], at[flagged]))
         if known:
             key, at = (np.concatenate(x) for x in zip(*known, strict=True))
@@ -145,9 +153,13 @@ def by_row(blobs: DataFrame, buckets: int) -> DataFrame:
     return blobs.repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<bigint>")
 
 
-def repeated(entries: DataFrame, buckets: int, later_only: bool = False) -> DataFrame:
-    """Blobs from Senders -> (row_key, at): positions whose hash occurs again, or, with later_only, that are not its first."""
-    return by_row(entries.repartition(buckets, "bucket").mapInArrow(_resolve(buckets, later_only), BLOB), buckets)
+def repeated(entries: DataFrame, buckets: int, later_only: bool = False, mark: bool = False) -> DataFrame:
+    """Blobs from Senders -> (row_key, at): positions whose hash occurs again, or, with later_only, that are not its first.
+
+    With mark (here and in the Senders) positions come doubled, and one more for those that are not
+    the first of all (by row and position); one may then come both ways, and that it is not the first holds.
+    """
+    return by_row(entries.repartition(buckets, "bucket").mapInArrow(_resolve(buckets, later_only, mark), BLOB), buckets)
 
 
 def bucket_count(df: DataFrame) -> int:

@@ -1,12 +1,21 @@
 """Substring dedup by recompression.
 
-Words get 64-bit names. Rounds then replace short runs of one name, and pairs of neighbours that a
-hash of their names puts left and right, by one symbol whose name depends on its content
-alone. Names are global because they are content hashes: a round needs no exchange. Symbols never
-exceed MAX_WORDS words, so equal stretches get equal symbols all over but for at most EDGE words at
-either end, and every window holds a known number of whole common symbols. Groups of those symbols
-are the anchors; an anchor that occurs once rules its windows out. What is left is verified by the
-windows themselves, under two independent hashes of their words (96 bits).
+Words get 64-bit names. A round replaces runs of one name by one symbol, and then pairs of
+neighbours that a hash of their names puts left and right, under names that depend on their
+content alone; so equal stretches get equal symbols all over but for some words at either end.
+
+1. Low symbols, of at most MAX_WORDS words: every window holds a known number of whole common
+   ones, and groups of those are named over all documents by an exchange. A group that occurs once
+   rules out the windows around it.
+2. High symbols: in the documents that are left, rounds go on until nothing merges below TOP
+   windows. Each symbol of a window's length or more, at every height, is named by a digest of its
+   words, and an exchange tells which names are shared. All words of a shared symbol repeat.
+3. What a shared symbol does not settle is verified window by window, under two independent hashes
+   of the words (96 bits). Windows inside a symbol that is shared and not the first of its name are
+   not sent: the first one's are, or those of a still earlier place, so every different window that may
+   repeat is sent from its first place at least.
+
+Texts are exchanged once for all three rounds and the removal.
 
 Edge cases: null and empty texts have no words; repeated ids and null ids are kept apart (see
 ``keyed``); a window must lie in one document; documents shorter than a window lose nothing.
@@ -19,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import documents, gram_hashes, keyed, lean, mix, pair_names, picked, span_hashes, squeezed, text_blocks, unsqueeze, word_spans
@@ -27,7 +37,9 @@ from llm.exchange import BLOB, Sender, bucket_count, repeated
 WINDOW = 35
 MAX_WORDS = 3
 ROUNDS = 2
-EDGE = 2 + 2 * ROUNDS  # words at either end that may be grouped with what stands outside: 2 by runs, 2 by each pair round
+EDGE = 2 + 2 * ROUNDS  # words at either end that may be grouped with what stands outside: 2 by runs of two, 2 by each pair round
+TOP = 32  # high symbols hold at most so many windows' words
+_SIZE = 16  # bits for a symbol's size beside its place
 _U = np.uint64
 
 
@@ -38,30 +50,60 @@ def _merge(names: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarra
     return names[keep], at[keep], size[keep], owner[keep]
 
 
-def symbols(words: np.ndarray, owner: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first word, words, owner) of the symbols after a run round and the pair rounds."""
-    names, at, size = words, np.arange(len(words)), np.ones(len(words), dtype=np.int64)
-    if not len(words):
-        return names, at, size, owner
-    same = np.zeros(len(words), dtype=bool)
+def _runs(names: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray, cap: int):
+    """Runs of one name that make at most cap words become one symbol; longer ones stay as they are."""
+    same = np.zeros(len(names), dtype=bool)
     same[1:] = (names[1:] == names[:-1]) & (owner[1:] == owner[:-1])
     first = np.nonzero(~same)[0]
-    length = np.diff(np.append(first, len(words)))
-    short = (length >= 2) & (length <= MAX_WORDS)
-    if short.any():
-        absorbed = same & np.repeat(short, length)
-        h = first[short]
-        names, at, size, owner = _merge(names, at, size, owner, h, mix(names[h] + length[short].astype(_U) * _U(0xA24BAED4963EE407)), absorbed, length[short])
+    length = np.diff(np.append(first, len(names)))
+    short = (length >= 2) & (length * size[first] <= cap)
+    if not short.any():
+        return names, at, size, owner
+    absorbed = same & np.repeat(short, length)
+    h = first[short]
+    return _merge(names, at, size, owner, h, mix(names[h] + length[short].astype(_U) * _U(0xA24BAED4963EE407)), absorbed, length[short] * size[h])
+
+
+def _pairs(names: np.ndarray, at: np.ndarray, size: np.ndarray, owner: np.ndarray, cap: int, salt: int):
+    """Left and right neighbours of at most cap words together become one symbol."""
+    right = (mix(names + _U(0x9FB21C651E98DF25 + salt)) >> _U(63)).astype(bool)
+    pair = np.zeros(len(names), dtype=bool)
+    pair[:-1] = ~right[:-1] & right[1:] & (owner[:-1] == owner[1:]) & (size[:-1] + size[1:] <= cap)
+    h = np.nonzero(pair)[0]
+    if not len(h):
+        return names, at, size, owner
+    absorbed = np.zeros(len(names), dtype=bool)
+    absorbed[h + 1] = True
+    return _merge(names, at, size, owner, h, pair_names(names[h], names[h + 1]), absorbed, size[h] + size[h + 1])
+
+
+def symbols(words: np.ndarray, owner: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, first word, words, owner) of the low symbols: a round of runs of two, then rounds of pairs."""
+    state = words, np.arange(len(words)), np.ones(len(words), dtype=np.int64), owner
+    if not len(words):
+        return state
+    state = _runs(*state, MAX_WORDS - 1)
     for r in range(rounds):
-        right = (mix(names + _U(0x9FB21C651E98DF25 + r)) >> _U(63)).astype(bool)
-        pair = np.zeros(len(names), dtype=bool)
-        pair[:-1] = ~right[:-1] & right[1:] & (owner[:-1] == owner[1:]) & (size[:-1] + size[1:] <= MAX_WORDS)
-        h = np.nonzero(pair)[0]
-        if len(h):
-            absorbed = np.zeros(len(names), dtype=bool)
-            absorbed[h + 1] = True
-            names, at, size, owner = _merge(names, at, size, owner, h, pair_names(names[h], names[h + 1]), absorbed, size[h] + size[h + 1])
-    return names, at, size, owner
+        state = _pairs(*state, MAX_WORDS, r)
+    return state
+
+
+def high_symbols(low: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], least: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of all symbols of ``least`` to ``cap`` words that further rounds make, at every height."""
+    state, found, still, salt = low, [], 0, ROUNDS
+    while still < 4 and len(state[0]):  # a round may find no pair by its hash alone
+        before = len(state[0])
+        for grown in (_runs(*state, cap), None):
+            grown = grown or _pairs(*state, cap, salt)
+            if len(grown[0]) < len(state[0]):
+                at, size = grown[1], grown[2]
+                fresh = size != state[2][np.searchsorted(state[1], at)]
+                big = fresh & (size >= least)
+                found.append((at[big], size[big]))
+            state = grown
+        salt += 1
+        still = still + 1 if len(state[0]) == before else 0
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def anchor_plan(window: int) -> tuple[int, int]:
@@ -69,7 +111,7 @@ def anchor_plan(window: int) -> tuple[int, int]:
     sure = -(-(window - 2 * EDGE) // MAX_WORDS) if window > 2 * EDGE else 0
     if sure < 1:
         raise ValueError(f"a window needs more than {2 * EDGE} words")
-    gram = max(1, sure // 2)
+    gram = min(15 // MAX_WORDS, max(1, sure // 2))  # a group's words are told in four bits
     return gram, sure - gram + 1
 
 
@@ -110,53 +152,111 @@ def _anchors(window: int, buckets: int):
     return lean(run)
 
 
+def _spread(total: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``total`` places lie in some span from a to b."""
+    d = np.zeros(total + 1, dtype=np.int64)
+    ok = b > a
+    np.add.at(d, a[ok], 1)
+    np.add.at(d, b[ok], -1)
+    return np.cumsum(d)[:total] > 0
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of values in each list, all values); a null list has none."""
+    return pc.list_value_length(lists).fill_null(0).to_numpy(), lists.flatten().to_numpy().astype(np.int64)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], window: int, columns: list[str]):
+    """(row keys, bytes, word starts, word ends, first words, windows that may repeat, (row of the block, value) of each list column)."""
+    for batch in batches:
+        lists = [_flat(batch.column(c)) for c in columns]
+        upto = [np.append(0, np.cumsum(n)) for n, _ in lists]
+        place = 0
+        for keys, data, offs in text_blocks(batch.column("row_key").to_numpy(), unsqueeze(batch.column("z"))):
+            starts, ends, first = word_spans(data, offs)
+            i, j = place, place + len(keys)
+            place = j
+            held = [(np.repeat(np.arange(j - i), n[i:j]), v[u[i] : u[j]]) for (n, v), u in zip(lists, upto, strict=True)]
+            owner, enc = held[0]
+            pos, n, base = enc // 16, enc % 16, first[owner]
+            may = _spread(len(starts), np.maximum(base + pos + n - window, base), np.minimum(base + pos, first[owner + 1] - window) + 1)
+            if may.any():
+                yield keys, data, starts, ends, first, may, held
+
+
+def _words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of stretches of words, joined by one space whatever stands between them."""
+    body = data.tobytes()
+    odd = np.append(0, np.cumsum((starts[1:] - ends[:-1] != 1) | (data[ends[:-1]] != 0x20)))
+    plain = odd[at + size - 1] == odd[at]
+    h = bytearray()
+    for a, b, p in zip(starts[at].tolist(), ends[at + size - 1].tolist(), plain.tolist(), strict=True):
+        part = body[a:b]
+        h += hashlib.blake2b(part if p else b" ".join(part.split()), digest_size=16).digest()
+    both = np.frombuffer(bytes(h), _U).reshape(-1, 2)
+    return both[:, 0], both[:, 1] >> _U(32)
+
+
+def _high(window: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Sender(buckets, False, mark=True)
+        for keys, data, starts, ends, first, may, _ in _blocks(batches, window, ["at"]):
+            owner = np.repeat(np.arange(len(keys)), np.diff(first))
+            at, size = high_symbols(symbols(span_hashes(data, starts, ends), owner), window, TOP * window)
+            # a symbol that holds a window of its own cannot be shared
+            alone = np.append(0, np.cumsum(~may))
+            ok = alone[at + size - window + 1] == alone[at]
+            at, size = at[ok], size[ok]
+            if len(at):
+                h1, h2 = _words_of(data, starts, ends, at, size)
+                yield from out.add(h1, h2, keys[owner[at]], ((at - first[owner[at]]) << _SIZE) | size)
+        yield from out.flush()
+
+    return lean(run)
+
+
+def _marked(first: np.ndarray, owner: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, not the first of its name) of shared symbols."""
+    enc = marks >> 1
+    return first[owner] + (enc >> _SIZE), enc & ((1 << _SIZE) - 1), (marks & 1).astype(bool)
+
+
 def _windows(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sender(buckets, False)
-        for batch in batches:
-            all_keys, lists = batch.column(0).to_numpy(), batch.column(2)
-            place = 0
-            loffs, lvals = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for keys, data, offs in text_blocks(all_keys, unsqueeze(batch.column(1))):
-                starts, ends, first = word_spans(data, offs)
-                lo, hi = loffs[place], loffs[place + len(keys)]
-                owner_of = np.repeat(np.arange(len(keys)), np.diff(loffs[place : place + len(keys) + 1]))
-                place += len(keys)
-                enc = lvals[lo:hi].astype(np.int64)
-                pos, n = enc // 16, enc % 16
-                base = first[owner_of]
-                a = np.maximum(base + pos + n - window, base)
-                b = np.minimum(base + pos, first[owner_of + 1] - window) + 1
-                cover = np.zeros(len(starts) + 1, dtype=np.int64)
-                ok = b > a
-                np.add.at(cover, a[ok], 1)
-                np.add.at(cover, b[ok], -1)
-                cand = np.nonzero(np.cumsum(cover) > 0)[0]
-                if not len(cand):
-                    continue
-                h1 = gram_hashes(span_hashes(data, starts, ends, 0), window, 1)[cand]
-                h2 = gram_hashes(span_hashes(data, starts, ends, 1), window, 2)[cand]
-                own = np.searchsorted(first, cand, side="right") - 1
-                yield from out.add(h1, h2 >> _U(32), keys[own], cand - first[own])
+        for keys, data, starts, ends, first, may, held in _blocks(batches, window, ["at", "marks"]):
+            at, size, later = _marked(first, *held[1])
+            may = may & ~_spread(len(may), at[later], (at + size - window + 1)[later])
+            at = np.nonzero(may)[0]
+            if not len(at):
+                continue
+            h1 = gram_hashes(span_hashes(data, starts, ends, 0), window, 1)[at]
+            h2 = gram_hashes(span_hashes(data, starts, ends, 1), window, 2)[at]
+            own = np.searchsorted(first, at, side="right") - 1
+            yield from out.add(h1, h2 >> _U(32), keys[own], at - first[own])
         yield from out.flush()
 
     return lean(run)
 
 
-def repeated_windows(keyed_docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row_key, at): first words of the windows whose words also start anywhere else."""
+def repeats(keyed_docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, z, at, marks): compressed texts, first words of windows that repeat, and shared symbols, whose windows repeat too."""
+    if TOP * window >= 1 << _SIZE:
+        raise ValueError(f"a window holds at most {((1 << _SIZE) - 1) // TOP} words")
     n = bucket_count(keyed_docs)
-    text = keyed_docs.select("row_key", "text")
-    anchors = repeated(text.mapInArrow(_anchors(window, n), BLOB), n)
-    near = squeezed(keyed_docs).join(anchors, "row_key").select("row_key", "z", "at")
-    return repeated(near.mapInArrow(_windows(window, n), BLOB), n)
+    groups = repeated(keyed_docs.select("row_key", "text").mapInArrow(_anchors(window, n), BLOB), n)
+    # one exchange of the texts for all joins: they are merge joins on the same rows and columns
+    z = squeezed(keyed_docs).filter("row_key is not null").hint("merge")
+    near = z.join(groups, "row_key").select("row_key", "doc_id", "z", "at")
+    marks = repeated(near.mapInArrow(_high(window, n), BLOB), n, mark=True).withColumnRenamed("at", "marks")
+    rest = near.hint("merge").join(marks, "row_key", "left").select("row_key", "doc_id", "z", "at", "marks")
+    hits = repeated(rest.mapInArrow(_windows(window, n), BLOB), n)
+    return z.join(marks, "row_key", "left").hint("merge").join(hits, "row_key", "left").select("doc_id", "z", "at", "marks")
 
 
-def word_cover(n: int, at: np.ndarray, window: int) -> np.ndarray:
-    d = np.zeros(n + 1, dtype=np.int64)
-    d[at] += 1
-    d[at + window] -= 1
-    return np.cumsum(d)[:n] > 0
+def word_cover(n: int, at: np.ndarray, marks: np.ndarray, window: int) -> np.ndarray:
+    a, size, _ = _marked(np.zeros(1, np.int64), np.zeros(len(marks), np.int64), marks)
+    return _spread(n, np.append(at, a), np.append(at + window, a + size))
 
 
 def _strip(window: int, keep_text: bool):
@@ -164,14 +264,15 @@ def _strip(window: int, keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, lists = batch.column("doc_id"), unsqueeze(batch.column("z")), batch.column("at")
+            ids, texts, lists, shared = batch.column("doc_id"), unsqueeze(batch.column("z")), batch.column("at"), batch.column("marks")
             words, removed, digests, kept = [], [], [], []
             for i in range(batch.num_rows):
                 body = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
                 w = body.split()
                 gone = 0
-                if lists[i].is_valid and len(lists[i]):
-                    cover = word_cover(len(w), lists[i].values.to_numpy(), window)
+                at, marks = (x[i].values.to_numpy() if x[i].is_valid else np.zeros(0, np.int64) for x in (lists, shared))
+                if len(at) or len(marks):
+                    cover = word_cover(len(w), at, marks, window)
                     gone = int(cover.sum())
                     left = [x for x, c in zip(w, cover.tolist(), strict=True) if not c]
                 else:
@@ -191,9 +292,7 @@ def _strip(window: int, keep_text: bool):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]): every word in a repeated window removed."""
     k = keyed(docs, id_col, text_col)
-    hit = repeated_windows(k, window)
-    joined = squeezed(k).join(hit, "row_key", "left").select("doc_id", "z", "at")
-    return joined.mapInArrow(_strip(window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else ""))
+    return repeats(k, window).mapInArrow(_strip(window, keep_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else ""))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,17 +92,72 @@ def test_op2_contexts_of_copies_and_periods(spark):
     assert got == bytes_oracle(t, 100)
 
 
-def test_op8(docs, texts):
-    count = Counter(tuple(w[i : i + 35]) for t in texts for w in [(t or "").encode().split()] for i in range(len(w) - 34))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op8_recompression.dedup_substrings(docs).collect()}
-    for i, t in enumerate(texts):
-        w = (t or "").encode().split()
+def windows_oracle(texts, window):
+    words = [(t or "").encode().split() for t in texts]
+    count = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = {}
+    for i, w in enumerate(words):
         gone = np.zeros(len(w), bool)
-        for p in range(len(w) - 34):
-            if count[tuple(w[p : p + 35])] > 1:
-                gone[p : p + 35] = True
+        for p in range(len(w) - window + 1):
+            if count[tuple(w[p : p + window])] > 1:
+                gone[p : p + window] = True
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
-        assert got[i] == (len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+        out[i] = (len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def windows_removed(docs, window=35):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op8_recompression.dedup_substrings(docs, window).collect()}
+
+
+def test_op8(docs, texts):
+    assert windows_removed(docs) == windows_oracle(texts, 35)
+
+
+@pytest.mark.parametrize("window", [14, 35, 60])
+def test_op8_shared_symbols(spark, window):
+    """Long passages held whole, in part, shifted, within one document and with other spacing; periods and runs; a passage held by a third of all."""
+    rnd = random.Random(window)
+    mk = lambda n, al=400: [f"w{rnd.randrange(al)}" for _ in range(n)]
+    hot, long = mk(300), mk(3000)
+    blocks = [mk(rnd.randint(20, 400)) for _ in range(6)] + [["a"] * 130, ["a", "b"] * 90, mk(200, 2)]
+    t = []
+    for i in range(60):
+        parts = [mk(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 4)):
+            b = rnd.choice(blocks)
+            i0 = rnd.randrange(len(b))
+            parts += [b[i0 : i0 + rnd.randint(1, len(b))] if rnd.random() < 0.5 else b, mk(rnd.randint(0, 40))]
+        if i % 3 == 0:
+            parts.append(hot)
+        if i % 20 == 1:
+            parts.append(long[i * 10 : i * 10 + 2000])
+        t.append(rnd.choice([" ", "  ", "\n"]).join(x for p in parts for x in p))
+    t += [t[0], t[1], None, "", " ".join(long + long)]
+    assert windows_removed(spark.createDataFrame(rows(t), SCHEMA).repartition(5), window) == windows_oracle(t, window)
+
+
+def test_op8_equal_stretches_share_symbols():
+    """Of two equal stretches, all but EDGE words at either end are under the same low symbols, and high ones are shared."""
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        same = rnd.integers(0, 3, 35).astype(np.uint64)
+        seen = []
+        for _ in range(2):
+            before, after = rnd.integers(0, 3, rnd.integers(0, 9)).astype(np.uint64), rnd.integers(0, 3, rnd.integers(0, 9)).astype(np.uint64)
+            w = np.concatenate([before, same, after])
+            names, at, size, _ = op8_recompression.symbols(w, np.zeros(len(w), np.int64))
+            assert size.sum() == len(w)
+            e = op8_recompression.EDGE
+            seen.append({(a - len(before), n) for a, n in zip(at, names) if len(before) + e <= a < len(before) + 35 - e - 2})
+        assert seen[0] == seen[1]
+    body = rnd.integers(0, 500, 900).astype(np.uint64)
+    spans = []
+    for shift in (3, 11):
+        w = np.concatenate([np.arange(10**6, 10**6 + shift).astype(np.uint64), body])
+        at, size = op8_recompression.high_symbols(op8_recompression.symbols(w, np.zeros(len(w), np.int64)), 35, 1120)
+        spans.append({(a - shift, n) for a, n in zip(at.tolist(), size.tolist())})
+    assert sum(n for _, n in spans[0] & spans[1]) > 900  # more than once over: at several heights
 
 
 @pytest.mark.parametrize("long_list", [64, 1])
