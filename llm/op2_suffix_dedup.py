@@ -352,12 +352,12 @@ def _by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[f]), *lists], names=["row_key", "at", "n"])
 
 
-def later_runs(keyed_docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row_key, at, n): n consecutive starts from ``at`` on, of strings that also start earlier."""
+def later_runs(keyed_docs: DataFrame, z: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(row_key, at, n): n consecutive starts from ``at`` on, of strings that also start earlier; z are the compressed texts."""
     buckets = bucket_count(keyed_docs)
     text = keyed_docs.select("row_key", "text")
     hit = repeated(text.mapInArrow(_anchors(length, gram, buckets), BLOB), buckets)
-    near = squeezed(keyed_docs).join(hit, "row_key").select("row_key", "z", "at")
+    near = z.join(hit, "row_key").select("row_key", "z", "at", "doc_id")
     met = near.mapInArrow(_contexts(length, gram, buckets), CONTEXTS).repartition(buckets, "bucket")
     return met.mapInArrow(_resolve(length, gram, buckets), CONTEXTS).repartition(buckets, "bucket").mapInArrow(_by_row, "row_key bigint, at array<int>, n array<int>")
 
@@ -394,7 +394,9 @@ def _strip(length: int):
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     k = keyed(docs, id_col, text_col)
-    return squeezed(k).join(later_runs(k, length, gram), "row_key", "left").select("doc_id", "z", "at", "n").mapInArrow(_strip(length), _OUT)
+    # one exchange of the texts for both joins: they are merge joins on the same rows and columns
+    z = squeezed(k).filter("row_key is not null").hint("merge")
+    return z.join(later_runs(k, z, length, gram), "row_key", "left").select("doc_id", "z", "at", "n").mapInArrow(_strip(length), _OUT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
