@@ -2,7 +2,7 @@
 
 A string of LENGTH bytes belongs to the smallest of its GRAM-byte hashes; consecutive strings with one smallest hash are a run, and
 the bytes that a run's strings cover are its context. Equal strings have equal smallest hashes, so a hash that only one
-run has rules its strings out (exchange 1). The contexts of the others meet by hash (exchange 2), and there
+run has, and has once, rules its strings out (exchange 1; a run that may hold it twice, as in a period, counts as two). The contexts of the others meet by hash (exchange 2), and there
 the suffix array of the contexts, built by difference cover (sort sampled triples, recurse on their names, place the remaining
 suffixes by one symbol and a rank, merge), brings equal strings together: neighbours are compared over LENGTH bytes, and of each
 group all but the string with the smallest document and start are removed.
@@ -30,7 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import BLOCK_BYTES, documents, gram_hashes, keyed, lean, mix, ragged, squeezed, text_blocks, unsqueeze, window_min
+from llm.common import BLOCK_BYTES, documents, gram_hashes, keyed, lean, mix, picked, ragged, squeezed, text_blocks, unsqueeze, window_min
 from llm.exchange import BLOB, Sender, _row_bucket, _squeeze, bucket_count, repeated
 from llm.suffixes import equal_neighbours, suffix_array
 
@@ -54,11 +54,12 @@ def _blocks(keys: np.ndarray, texts: pa.Array, length: int) -> Iterator[tuple[np
 
 
 def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(smallest hash, first string's start, strings, text) of the runs of a block."""
+    """(smallest hash, first string's start, strings, text) of the runs of a block; a run that may hold its hash twice comes twice."""
     n = len(data) - length + 1
     if n <= 0:
         return np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3))
-    low = window_min(gram_hashes(data.astype(_U), gram) | _U(1), length - gram + 1)
+    hashes = gram_hashes(data.astype(_U), gram) | _U(1)
+    low = window_min(hashes, length - gram + 1)
     inside = np.zeros(len(data) + 1, dtype=np.int32)
     whole = np.diff(offs) >= length
     np.add.at(inside, offs[:-1][whole], 1)
@@ -76,7 +77,12 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np
     nth = np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)
     start = at[np.repeat(head, cuts)] + nth * RUN
     count = np.minimum(np.repeat(size, cuts) - nth * RUN, RUN)
-    return value[np.repeat(head, cuts)], start, count, np.searchsorted(offs, start, side="right") - 1
+    # places of one hash in one run are neighbours among the places of smallest hashes: between them, no string is without it
+    place = picked(hashes, length - gram + 1, np.zeros(len(hashes), np.int8))
+    again = place[:-1][hashes[place[1:]] == hashes[place[:-1]]]
+    twice = np.searchsorted(again, start + count - 1 + length - gram) > np.searchsorted(again, start)
+    k = np.repeat(np.arange(len(start)), 1 + twice)
+    return value[np.repeat(head, cuts)][k], start[k], count[k], np.searchsorted(offs, start[k], side="right") - 1
 
 
 def _anchors(length: int, gram: int, buckets: int):

@@ -459,6 +459,17 @@ def test_op2_one_string_many_times(monkeypatch):
         assert later.tolist() == want
 
 
+def test_op2_one_run_that_repeats_itself(spark):
+    """Periods whose hash no other run has: a line of dashes, short and long periods, in texts of their own."""
+    rnd = random.Random(3)
+    t = ["abc" * 60, "".join(rnd.choices("stuv", k=200)) + "-" * 120 + "".join(rnd.choices("stuv", k=200))]
+    for k in range(1, 90, 4):
+        period = "".join(rnd.choices("abcdefghijkl", k=k))
+        t.append("".join(rnd.choices("stuv", k=k)) + (period * 400)[: 99 + 3 * k] + "".join(rnd.choices("stuv", k=50)))
+    got = {r[0]: tuple(r)[1:] for r in op2_suffix_dedup.dedup_bytes(spark.createDataFrame(rows(t), SCHEMA)).collect()}
+    assert got == bytes_oracle(t, 100)
+
+
 def test_op2_long_runs(spark):
     """Runs over a block: of one byte, of a period, and a long text twice."""
     rnd = random.Random(8)
