@@ -3,7 +3,9 @@
 ``exact`` walks headers, seeking over payloads, so a payload that looks like headers cannot
 mislead it. ``sampled`` looks, near each target, for a run of plausible headers; it only
 trusts bytes it has read, takes a run that ends at the file's end, and widens its window
-until it finds a boundary, so no range is left empty by an unlucky window.
+until it finds a boundary, so no range is left empty by an unlucky window. It cuts where the run ends, not where
+it begins: a run that begins beside a record (a byte early, its length is read from the key's last byte and the lower bytes
+of the true one) can only go on once it has come upon a true record, and from there on it is true.
 """
 
 from __future__ import annotations
@@ -13,18 +15,18 @@ from typing import BinaryIO
 from keytide.functions.keys import HEADER_BYTES
 
 
-def chain_holds(buf: bytes, at: int, max_payload: int, links: int, at_eof: bool, min_payload: int = 0) -> bool:
-    """Do ``links`` plausible records follow each other from ``at`` (fewer, if they end exactly at the file's end)?"""
+def chain_end(buf: bytes, at: int, max_payload: int, links: int, at_eof: bool, min_payload: int = 0) -> int | None:
+    """Where ``links`` plausible records that follow each other from ``at`` end (fewer, if that is exactly the file's end); None if they do not."""
     for _ in range(links):
         if at == len(buf):
-            return at_eof
+            return at if at_eof else None
         if at + HEADER_BYTES > len(buf):
-            return False
+            return None
         size = int.from_bytes(buf[at + 8 : at + 12], "little")
         if not min_payload <= size <= max_payload or at + HEADER_BYTES + size > len(buf):
-            return False
+            return None
         at += HEADER_BYTES + size
-    return True
+    return at
 
 
 def sampled_splits(
@@ -40,9 +42,8 @@ def sampled_splits(
             f.seek(target)
             buf = f.read(min(span, size - target))
             eof = target + len(buf) >= size
-            found = next(
-                (target + p for p in range(len(buf)) if chain_holds(buf, p, max_payload, links, eof, min_payload)), None
-            )
+            ends = (chain_end(buf, p, max_payload, links, eof, min_payload) for p in range(len(buf)))
+            found = next((target + x for x in ends if x is not None), None)
             if found is None and eof:
                 found = size
             span *= 4

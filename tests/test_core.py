@@ -58,6 +58,17 @@ def test_splits_cover_and_align(parts):
         assert cuts == sorted(cuts) and set(cuts) <= legal
 
 
+def test_sampled_splits_of_runs_that_begin_beside_a_record(spark, tmp_path):
+    """A byte before each of these records, a plausible one begins that ends where a true one does: 11 + 37 + 256 * 100 is 229 records of 112 bytes."""
+    data = raw([(37 << 56 | i, b"x" * 100) for i in range(3000)])
+    for parts in (4, 9):
+        cuts = splits.sampled_splits(io.BytesIO(data), len(data), parts, 1 << 20)
+        assert len(cuts) == parts + 1 and len(set(cuts)) > 3 and all(c % 112 == 0 for c in cuts)
+    register(spark)
+    (tmp_path / "f.bin").write_bytes(data)
+    assert spark.read.format("recordfile").option("split_bytes", 50_000).load(str(tmp_path / "f.bin")).count() == 3000
+
+
 def test_exact_splits_ignore_payloads_that_look_like_records():
     inner = raw([(i, b"y" * 8) for i in range(50)])
     data = raw([(i, inner) for i in range(20)])
