@@ -278,39 +278,60 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(found.groupBy("node").agg(F.first("z").alias("z")))  # rows that repeat id and text are one
 
 
+_PACKED = "bucket int, n bigint, body binary"
+
+
+def _packed(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row a bucket: its entries, column after column."""
+    o = np.argsort(bucket, kind="stable")
+    cuts = np.concatenate([[0], np.nonzero(np.diff(bucket[o]))[0] + 1, [len(o)]])
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if i < j:
+            k = o[i:j]
+            body = b"".join(x[k].tobytes() for x in columns)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[k[0]]], pa.int32()), pa.array([j - i], pa.int64()), pa.array([body], pa.binary())], names=["bucket", "n", "body"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], *types: type) -> list[np.ndarray]:
+    """The entries of all rows, a column each; none if there are no rows."""
+    parts = []
+    for b in batches:
+        for n, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            at = np.cumsum([0, *(np.dtype(t).itemsize * n for t in types)]).tolist()
+            parts.append([np.frombuffer(body, t, n, i) for t, i in zip(types, at, strict=False)])
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where values of a sorted array begin."""
+    return np.nonzero(np.append(True, x[1:] != x[:-1]))[0] if len(x) else np.zeros(0, np.int64)
+
+
 def _postings(size: int, buckets: int):
-    """Of each text (node, label, z), its distinct shingles, packed for their buckets: shingles, nodes, labels, and whether a shingle is common already.
+    """Of each text (node, z), its distinct shingles, packed for their buckets: shingles, nodes, and whether a shingle is common already.
 
     A shingle that more than LONG_LIST texts of one flush have is sent once, as common.
     """
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
-        h = np.concatenate([x[2] for x in held])
-        sizes = np.array([len(x[2]) for x in held])
-        node, label = (np.repeat(np.array([x[k] for x in held], dtype=np.int64), sizes) for k in (0, 1))
+        h = np.concatenate([x[1] for x in held])
+        node = np.repeat(np.array([x[0] for x in held], dtype=np.int64), [len(x[1]) for x in held])
         o = np.argsort(h, kind="stable")
-        h, node, label = h[o], node[o], label[o]
-        head = np.nonzero(np.append(True, h[1:] != h[:-1]))[0] if len(h) else np.zeros(0, np.int64)
+        h, node = h[o], node[o]
+        head = _heads(h)
         count = np.diff(np.append(head, len(h)))
         common = np.repeat(count > LONG_LIST, count)
         keep = ~common
         keep[head] = True
-        h, node, label, common = h[keep], node[keep], label[keep], common[keep]
-        bucket = (h % np.uint64(buckets)).astype(np.int32)
-        o = np.argsort(bucket, kind="stable")
-        cuts = np.concatenate([[0], np.nonzero(np.diff(bucket[o]))[0] + 1, [len(o)]])
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if i < j:
-                k = o[i:j]
-                body = b"".join(x[k].tobytes() for x in (h, node, label, common))
-                yield pa.RecordBatch.from_arrays([pa.array([bucket[k[0]]], pa.int32()), pa.array([j - i], pa.int64()), pa.array([body], pa.binary())], names=["bucket", "n", "body"])
+        h, node, common = h[keep], node[keep], common[keep]
+        yield from _packed((h % np.uint64(buckets)).astype(np.int32), h, node, common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
-            for node, label, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                held.append((node, label, _shingle_set(z, size)))
-                n += len(held[-1][2])
+            for node, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.append((node, _shingle_set(z, size)))
+                n += len(held[-1][1])
                 if n >= 1 << 19:
                     yield from send(held)
                     held, n = [], 0
@@ -320,37 +341,81 @@ def _postings(size: int, buckets: int):
     return lean(run)
 
 
-_RARE = "a bigint, b bigint, n int, rare binary"
+def _rare(limit: int, buckets: int):
+    """Of a bucket of shingles: those of at most ``limit`` texts, packed for the buckets of their texts: shingles, nodes, numbers of texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _unpacked(batches, np.uint64, np.int64, np.bool_)
+        if not found:
+            return
+        h, node, common = found
+        o = np.argsort(h, kind="stable")
+        h, node, common = h[o], node[o], common[o]
+        head = _heads(h)
+        count = np.diff(np.append(head, len(h)))
+        rare = np.repeat((count <= limit) & ~np.maximum.reduceat(common, head), count)
+        texts = np.repeat(count, count).astype(np.int32)
+        yield from _packed((node[rare].view(np.uint64) % np.uint64(buckets)).astype(np.int32), h[rare], node[rare], texts[rare])
 
-def _rare(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Of a bucket: pairs (a, b) of texts of two components that share a rare shingle; and for each text a, its n rare shingles."""
-    parts = []
-    for b in batches:
-        for n, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            parts.append((np.frombuffer(body, np.uint64, n), np.frombuffer(body, np.int64, n, 8 * n), np.frombuffer(body, np.int64, n, 16 * n), np.frombuffer(body, np.bool_, n, 24 * n)))
-    if not parts:
+    return lean(run)
+
+
+def _rare_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, u, rare): each text's u rare shingles, those of the fewest texts first."""
+    found = _unpacked(batches, np.uint64, np.int64, np.int32)
+    if not found:
         return
-    h, node, label, common = (np.concatenate(x) for x in zip(*parts, strict=True))
-    o = np.lexsort((node, h))
-    h, node, label, common = h[o], node[o], label[o], common[o]
-    head = np.nonzero(np.append(True, h[1:] != h[:-1]))[0] if len(h) else np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(h)))
-    rare = np.repeat((count <= limit) & ~(np.maximum.reduceat(common, head) if len(head) else np.zeros(0, bool)), count)
-    rows = lambda a, b, n, r: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(r, pa.binary())], names=["a", "b", "n", "rare"])
-    h, node, label = h[rare], node[rare], label[rare]
-    o = np.argsort(node, kind="stable")
-    cuts = np.append(np.nonzero(np.append(True, node[o][1:] != node[o][:-1]))[0], len(o)).tolist() if len(o) else []
+    h, node, texts = found
+    o = np.lexsort((h, texts, node))
+    h, node = h[o], node[o]
+    cuts = np.append(_heads(node), len(node)).tolist()
     for k in range(0, len(cuts) - 1, 4096):
         c = cuts[k : k + 4097]
-        yield rows(node[o][c[:-1]], [None] * (len(c) - 1), np.diff(c), [h[o[i:j]].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)])
-    for step in range(1, limit):
-        hit = (h[step:] == h[:-step]) & (label[step:] != label[:-step]) if len(h) > step else np.zeros(0, bool)
-        if not len(hit) or not (h[step:] == h[:-step]).any():
-            break
-        both = np.unique(np.stack([node[:-step][hit], node[step:][hit]], axis=1), axis=0)
-        if len(both):
-            yield rows(both[:, 0], both[:, 1], [None] * len(both), [None] * len(both))
+        body = [h[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(node[c[:-1]]), pa.array(np.diff(c), pa.int32()), pa.array(body, pa.binary())], names=["node", "u", "rare"])
+
+
+def _prefixes(similarity: float, buckets: int):
+    """Of each text (node, label, n, rare), what is rare among its first shingles in the order of (texts that have it, hash), packed for their buckets.
+
+    A text that links has at least ``similarity`` of its n shingles in common with the other, so the first one in common stands among
+    the first n - ceil(similarity * n) + 1 of both; if any of those in common is rare, the first is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = b.column(2).to_numpy()
+            first = (n - np.ceil(similarity * n - EPSILON) + 1).astype(np.int64).tolist()
+            h = [np.frombuffer(x, np.uint64)[:k] for x, k in zip(b.column(3).to_pylist(), first, strict=True)]
+            node, label, size = (np.repeat(b.column(k).to_numpy(), [len(x) for x in h]) for k in range(3))
+            h = np.concatenate(h)
+            yield from _packed((h % np.uint64(buckets)).astype(np.int32), h, node, label, size.astype(np.int32))
+
+    return lean(run)
+
+
+def _met(similarity: float):
+    """Of a bucket: pairs (a, b) of texts of two components that have a shingle in common and sizes that allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _unpacked(batches, np.uint64, np.int64, np.int64, np.int32)
+        if not found:
+            return
+        o = np.lexsort((found[1], found[0]))
+        h, node, label, size = (x[o] for x in found)
+        for step in range(1, len(h)):
+            same = h[step:] == h[:-step]
+            if not same.any():
+                break
+            x, y = size[:-step], size[step:]
+            hit = same & (label[step:] != label[:-step]) & (np.minimum(x, y) >= np.maximum(x, y) * similarity - EPSILON)
+            both = np.unique(np.stack([node[:-step][hit], node[step:][hit]], axis=1), axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return lean(run)
 
 
 def _dominated(size: int):
@@ -365,7 +430,7 @@ def _dominated(size: int):
                     last, top = champ, _shingle_set(zc, size)
                 x = _shingle_set(zn, size)
                 rest = np.setdiff1d(x, top, assume_unique=True)
-                own = np.frombuffer(b"".join(rare.as_py()), np.uint64)
+                own = np.frombuffer(rare.as_py(), np.uint64)
                 good.append(len(top) <= len(x) and bool(np.isin(rest, own).all()))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["champ", "node"])
@@ -379,7 +444,7 @@ def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame,
     Members of a list whose components differ could all be paired; the components come out the same from far fewer pairs.
     Call a shingle rare if at most LONG_LIST of these texts have it.
 
-    Texts that share a rare shingle are paired by it, which is linear. For all other pairs, rare shingles lie in the union and not
+    Texts that share a rare shingle are paired by the first ones of each in order of rarity (``_prefixes``), which is linear and leaves out no link. For all other pairs, rare shingles lie in the union and not
     in the intersection: with c common and u rare shingles, a pair reaches at most m / (m + ua + ub), where m is the smaller c;
     below the similarity it cannot link. Of the rest, a text y with all common shingles of z and no more shingles in all is at least as
     similar to any x as z is (|x & z| <= |x & y|, |y| <= |z|). So z need only meet such texts: if x and z link, x links with the y of z, z with the y
@@ -395,14 +460,15 @@ def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame,
     named = materialise(named.join(mixed, own))
     label = named.select("node", "label").distinct()
     held = materialise(texts.join(label, "node").select("node", "label", "z"))
-    n, limit = bucket_count(held), LONG_LIST
-    found = materialise(held.mapInArrow(_postings(shingle, n), "bucket int, n bigint, body binary").repartition(n, "bucket").mapInArrow(lean(lambda batches: _rare(batches, limit)), _RARE))
-    by_rare = found.filter("b is not null").select("a", "b").distinct()
-    rare = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.collect_list("rare").alias("rare"), F.sum("n").cast("int").alias("u"))  # a row a bucket at most
+    parts, limit = bucket_count(held), LONG_LIST
+    packed = held.select("node", "z").mapInArrow(_postings(shingle, parts), _PACKED).repartition(parts, "bucket").mapInArrow(_rare(limit, parts), _PACKED).repartition(parts, "bucket")
+    rare = materialise(packed.mapInArrow(lean(_rare_of_texts), "node bigint, u int, rare binary"))
+    sized = rare.join(label, "node").join(nodes.select("node", "n"), "node").select("node", "label", "n", "rare")
+    by_rare = sized.mapInArrow(_prefixes(similarity, parts), _PACKED).repartition(parts, "bucket").mapInArrow(_met(similarity), "a bigint, b bigint")
 
     possible = lambda m, u: m * (1 - similarity) >= u * similarity - EPSILON
     of = held.select("node", "z").join(nodes.select("node", "n"), "node").join(rare, "node", "left")
-    of = of.select("node", "z", F.coalesce("rare", F.array().cast("array<binary>")).alias("rare"), "n", F.coalesce("u", F.lit(0)).alias("u")).withColumn("c", F.col("n") - F.col("u"))
+    of = of.select("node", "z", F.coalesce("rare", F.lit(b"")).alias("rare"), "n", F.coalesce("u", F.lit(0)).alias("u")).withColumn("c", F.col("n") - F.col("u"))
     of = materialise(of.filter(possible(F.col("c"), F.col("u"))))
     members = materialise(named.join(of.select("node", "c", "u"), "node").select(*own, "node", "label", "c", "u"))
     left, met = members, None
@@ -419,7 +485,7 @@ def across(long: DataFrame, nodes: DataFrame, texts: DataFrame, comp: DataFrame,
     both = both.filter("label_a <> label_b").filter(possible(F.least("c_a", "c_b"), F.col("u_a") + F.col("u_b")))
     pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
     out = materialise(pairs.unionByName(by_rare).distinct())
-    discard(held, found, of, members, left)
+    discard(held, rare, of, members, left)
     return out
 
 

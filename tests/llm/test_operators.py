@@ -667,3 +667,31 @@ def test_pipeline_run_equals_plain_python(spark, tmp_path):
             assert (r.start, r.doc_tokens) == (at, len(tokens)) and r.ids_crc32 == zlib.crc32(np.array(tokens[at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(tokens)
+
+
+def test_op7_rare_shingles_pair_by_prefixes():
+    """Texts that share rare shingles, and differ in more, make no pairs for each two of them; those that link and share a rare one all meet."""
+    import pyarrow as pa
+    import zstandard
+
+    rnd = random.Random(4)
+    w = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    shared, base = w(40), w(80)
+    t = [" ".join(shared + w(60)) for _ in range(60)]
+    for _ in range(60):
+        x = list(base)
+        x[rnd.randrange(40)] = w(1)[0]
+        t.append(" ".join(x + w(rnd.randint(0, 12))))
+    sets = [np.unique(op7_simhash.shingle_hashes(x.encode(), 5)) for x in t]
+    n, z = len(t), [zstandard.ZstdCompressor().compress(x.encode()) for x in t]
+    count = Counter(np.concatenate(sets).tolist())
+    rare = [{h for h in x.tolist() if count[h] <= op7_simhash.LONG_LIST} for x in sets]
+    by_text = lambda *names: list(op7_simhash._rare_of_texts(op7_simhash._rare(op7_simhash.LONG_LIST, 1)(op7_simhash._postings(5, 1)(iter([pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(z)], names=["node", "z"])])))))
+    out = pa.Table.from_batches(by_text()).to_pylist()
+    assert {r["node"]: set(np.frombuffer(r["rare"], np.uint64).tolist()) for r in out} == {i: x for i, x in enumerate(rare) if x}
+    rows_in = pa.RecordBatch.from_pylist([{"node": r["node"], "label": r["node"], "n": len(sets[r["node"]]), "rare": r["rare"]} for r in out], schema=pa.schema([("node", pa.int64()), ("label", pa.int64()), ("n", pa.int32()), ("rare", pa.binary())]))
+    made = list(op7_simhash._met(0.8)(op7_simhash._prefixes(0.8, 1)(iter([rows_in]))))
+    got = {tuple(sorted(r.values())) for b in made for r in b.to_pylist()}
+    jaccard = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if rare[a] & rare[b] and jaccard(a, b) >= 0.8}
+    assert want and want <= got and not [p for p in got if p[1] < 60]
